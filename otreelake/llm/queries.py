@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 
+import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, mixing, url_filter
-from .common import map_batches, table
+from . import bpe, chat, mixing, secret_scan, toxicity, url_filter
+from .common import map_batches, pa_schema, table
 
 #: The rules that op1 judges by.
 URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
@@ -34,6 +36,12 @@ FROM parts
 """
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_on(docs, table(spark, sf_dir, "labels"))
+    return toxicity.grade_toxicity(docs.select("doc_id", "text"), model).select("doc_id", "expected_severity", "severity", "toxic", (~F.col("toxic")).alias("kept"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "finish")
@@ -53,6 +61,52 @@ FROM p
 """
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    formatted = chat.format_chats(turns.unionByName(own)).select("conv_id", "formatted", "loss")
+    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    types = pa_schema(spark, schema)
+
+    def digests(batches):
+        """The segments of a conversation follow one another; sums and digests go on over them."""
+        now, begun = None, False
+        for batch in batches:
+            done = []
+            for conv, formatted, loss in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not begun or now["conv_id"] != conv:
+                    if begun:
+                        done.append(now | {"turns_sha256": turns.hexdigest(), "loss_sha256": masked.hexdigest()})
+                    now, begun = {"conv_id": conv, "n_turns": 0, "loss_chars": 0, "formatted_chars": 0}, True
+                    turns, masked = hashlib.sha256(), hashlib.sha256()
+                for role, text in chat.read_back(formatted):
+                    now["n_turns"] += 1
+                    turns.update(f"{role}\n{text}\n".encode())
+                for span in loss:
+                    text = chat.unescape(formatted[span["start"] : span["end"]])
+                    now["loss_chars"] += len(text)
+                    masked.update(text.encode())
+                now["formatted_chars"] += len(formatted)
+            if done:
+                yield pa.RecordBatch.from_pylist(done, types)
+        if begun:
+            yield pa.RecordBatch.from_pylist([now | {"turns_sha256": turns.hexdigest(), "loss_sha256": masked.hexdigest()}], types)
+
+    return formatted.mapInArrow(digests, schema)
+
+
+OP6_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, length(replace(replace(replace(replace(replace(replace(text, '\', '\\'), '<|', '<\|'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')) AS escaped FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ sum(length('<|turn|>') + length(role) + 1 + escaped + length('<|end|>') + 1)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
 
@@ -68,6 +122,14 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_batches(docs, digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", bpe.loader(docs, VOCABULARY))
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op3_mixing": op3_mixing, "op7_bpe": op7_bpe}
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = joined(F.filter("spans", lambda s: s["kind"] != "random"))
+    return found.select("doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"), F.sha2(base, 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+QUERIES = {"op1_url_filter": op1_url_filter, "op2_toxicity": op2_toxicity, "op3_mixing": op3_mixing, "op6_chat": op6_chat, "op7_bpe": op7_bpe, "op8_secrets": op8_secrets}
 
-ORACLES = {"op1_url_filter": OP1_SQL, "op3_mixing": OP3_SQL}
+ORACLES = {"op1_url_filter": OP1_SQL, "op3_mixing": OP3_SQL, "op6_chat": OP6_SQL}
