@@ -4,12 +4,16 @@ P(grade >= k | x) = sigmoid(w.x - t_k) for k = 1 to 3, with one weight vector fo
 ordered by construction. The expected severity is the sum of the three probabilities, between 0 and 3.
 
 Labels say toxic or not. The grades of labelled toxic documents come from them and the texts: words that toxic documents
-have far more often than others are marked, and a document's grade is 1 with none or few of them a word, up to 3 with
-many, by thirds of the rate among toxic documents that have any.
+have far more often than others are marked, and a document's grade is 1 with none or few marked words, up to 3 with
+many, by thirds of the number among toxic documents that have any.
 
-The model is fitted on the driver, in numpy, on a bounded sample of labelled documents: at most `SAMPLE` of each label, by a hash of
-the id. Features are words (letters, lower case) with 1 + log(count); only words whose document frequencies in the two labels differ
-significantly get a weight. Scoring reads every whole text.
+Features are words (letters, lower case) and beginnings of words of 3 to 8 letters that go on (`lowei+`), which hold what inflection
+hides, each with 1 + log(count). Only features whose document frequencies in the two labels differ significantly get a weight, and
+of a word and its beginnings only the one that says most.
+
+The model is fitted on a bounded sample of labelled documents: at most `SAMPLE` of each label, by a hash of the id, and of those
+that are near copies of one another only the first: copies would make any of their words look like evidence. Features are counted and
+chosen in Spark; numpy on the driver fits the weights of the chosen ones. Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -18,26 +22,41 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import cut, map_batches
 
 #: Labelled documents of either label that the fit reads at most.
 SAMPLE = 4000
-#: Words that the model may weigh, the least documents that have one, and the least strength of its association with the label (in standard deviations).
-FEATURES, LEAST_DOCS, LEAST_Z = 5000, 5, 5.0
+#: Features that the model may weigh, the least documents that have one, and the least strength of its association with the label (in standard deviations).
+FEATURES, LEAST_DOCS, LEAST_Z = 5000, 4, 4.2
 #: A document is toxic from this expected severity on.
 TOXIC_FROM = 0.5
 GRADES = 3
 
+#: Lengths of the beginnings.
+STEMS = range(3, 9)
+#: Words whose features a worker remembers.
+CACHE_ENTRIES = 200_000
+
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def words_of(text: str | None) -> Counter:
-    return Counter(_WORD.findall(text.lower())) if text else Counter()
+def features_of(word: str) -> list[str]:
+    return [word, *(f"{word[:k]}+" for k in STEMS if k < len(word))]
+
+
+def features(text: str | None) -> Counter:
+    found: Counter = Counter()
+    for word, n in Counter(_WORD.findall(text.lower()) if text else ()).items():
+        for f in features_of(word):
+            found[f] += n
+    return found
 
 
 @dataclass(frozen=True)
@@ -45,42 +64,78 @@ class OrdinalModel:
     weights: dict[str, float]
     thresholds: tuple[float, ...]
 
-    def severity(self, text: str | None) -> tuple[float, int]:
+    def counts(self, text: str | None, known: dict[str, tuple[str, ...]]) -> Counter:
+        """Counts of the features that have a weight. known: what earlier words had."""
+        found: Counter = Counter()
+        for word, n in Counter(_WORD.findall(text.lower()) if text else ()).items():
+            own = known.get(word)
+            if own is None:
+                own = tuple(f for f in features_of(word) if f in self.weights)
+                if len(known) >= CACHE_ENTRIES:
+                    known.clear()
+                known[word] = own
+            for f in own:
+                found[f] += n
+        return found
+
+    def severity(self, text: str | None, known: dict[str, tuple[str, ...]] | None = None) -> tuple[float, int]:
         """Expected severity and the likeliest grade; a text without words has the grade of no evidence."""
-        weights = self.weights
-        counts = Counter(w for w in _WORD.findall(text.lower()) if w in weights) if text else {}
-        x = sum(weights[w] * (1 + math.log(n)) for w, n in counts.items())
+        x = sum(self.weights[f] * (1 + math.log(n)) for f, n in self.counts(text, {} if known is None else known).items())
         at_least = [1 / (1 + math.exp(min(700.0, t - x))) for t in self.thresholds]
         levels = [a - b for a, b in zip([1.0, *at_least], [*at_least, 0.0], strict=True)]
         return sum(at_least), max(range(len(levels)), key=levels.__getitem__)
 
 
-def association(n: np.ndarray, m: np.ndarray, total_n: int, total_m: int) -> np.ndarray:
-    """Signed root of the likelihood-ratio statistic: how far a word's document frequencies n of total_n and m of total_m are from one rate."""
+def most_telling(strength: dict[str, float]) -> list[str]:
+    """Features by strength, without those of which a beginning says more, or a longer form as much."""
+    dropped = set()
+    for f, z in strength.items():
+        word = f.removesuffix("+")
+        for shorter in (f"{word[:k]}+" for k in STEMS if k < len(word)):
+            if shorter in strength and z > 0:
+                dropped.add(f if strength[shorter] > z else shorter)
+    return sorted(strength.keys() - dropped, key=lambda f: (-abs(strength[f]), f))[:FEATURES]
+
+
+def association(n: Column, m: Column, total_n: int, total_m: int) -> Column:
+    """Signed root of the likelihood-ratio statistic: how far a feature's document frequencies n of total_n and m of total_m are from one rate."""
     total = max(1, total_n + total_m)
 
-    def term(seen: np.ndarray, row: np.ndarray, col: int) -> np.ndarray:
-        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-300) * total / np.maximum(row * col, 1e-300)), 0.0)
+    def term(seen: Column, row: Column, col: int) -> Column:
+        return F.when(seen > 0, seen * F.log(seen * total / (row * col))).otherwise(0.0)
 
     g = 2 * (term(n, n + m, total_n) + term(m, n + m, total_m) + term(total_n - n, total - n - m, total_n) + term(total_m - m, total - n - m, total_m))
-    return np.sign(n * total_m - m * total_n) * np.sqrt(np.maximum(g, 0))
-
-
-def fit(counts: list[Counter], toxic: list[int], steps: int = 400, rate: float = 0.1, ridge: float = 1e-3) -> OrdinalModel:
-    """The model of labelled word counts. With one label or none only the thresholds are fitted, and nothing is toxic on words."""
-    n_toxic, n_clean = sum(toxic), len(toxic) - sum(toxic)
-    seen = {1: Counter(), 0: Counter()}
-    for c, y in zip(counts, toxic, strict=True):
-        seen[y].update(c.keys())
-    words = sorted(w for w in seen[0] | seen[1] if seen[0][w] + seen[1][w] >= LEAST_DOCS)
-    z = association(np.array([seen[1][w] for w in words], float), np.array([seen[0][w] for w in words], float), n_toxic, n_clean)
-    strongest = sorted((k for k in range(len(words)) if abs(z[k]) >= LEAST_Z), key=lambda k: (-abs(z[k]), words[k]))[:FEATURES]
-    place = {words[k]: i for i, k in enumerate(strongest)}
-    marked = {words[k] for k in strongest if z[k] > 0}
-    rates = [sum(n for w, n in c.items() if w in marked) / max(1, sum(c.values())) for c in counts]
-    some = sorted(r for r, y in zip(rates, toxic, strict=True) if y and r > 0)
-    cuts = [some[len(some) * k // GRADES] for k in range(1, GRADES)] if some else [1.0] * (GRADES - 1)
-    grade = np.array([0 if not y else 1 + sum(r >= c for c in cuts) for r, y in zip(rates, toxic, strict=True)])
+    return F.signum(n * total_m - m * total_n) * F.sqrt(F.greatest(g, F.lit(0.0)))
+
+
+def sketch(text: str | None) -> list[int]:
+    """Minima of 16 hashes over the pairs of neighbouring words; none for a text without a pair."""
+    words = _WORD.findall((text or "").lower())
+    pairs = np.array([xxhash.xxh32_intdigest(f"{a} {b}") for a, b in set(pairwise(words))], np.uint64)
+    return [int((pairs * np.uint64(2 * k + 1) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).min()) for k in range(16)] if len(pairs) else []
+
+
+def first_copies(sketches: list[list[int]], alike: int = 6) -> list[bool]:
+    """Whether no earlier sketch agrees in `alike` places or more."""
+    having: dict[tuple[int, int], list[int]] = {}
+    first = []
+    for i, s in enumerate(sketches):
+        hits = Counter(j for place in enumerate(s) for j in having.get(place, ()))
+        first.append(not hits or max(hits.values()) < alike)
+        if first[-1]:
+            for place in enumerate(s):
+                having.setdefault(place, []).append(i)
+    return first
+
+
+def fit(strength: dict[str, float], chosen: list[str], counts: list[Counter], toxic: list[int], steps: int = 800, rate: float = 0.1, ridge: float = 1e-4) -> OrdinalModel:
+    """The model of labelled counts of the chosen features. With one label or none only the thresholds are fitted, and nothing is toxic on words."""
+    place = {f: i for i, f in enumerate(chosen)}
+    marked = {f for f in chosen if strength[f] > 0}
+    evidence = [sum(n for w, n in c.items() if w in marked) for c in counts]
+    some = sorted(e for e, y in zip(evidence, toxic, strict=True) if y and e)
+    cuts = [some[len(some) * k // GRADES] for k in range(1, GRADES)] if some else [1] * (GRADES - 1)
+    grade = np.array([0 if not y else 1 + sum(e > c for c in cuts) for e, y in zip(evidence, toxic, strict=True)])
 
     rows = np.array([i for i, c in enumerate(counts) for w in c if w in place], np.int64)
     cols = np.array([place[w] for c in counts for w in c if w in place], np.int64)
@@ -118,18 +173,31 @@ def fit(counts: list[Counter], toxic: list[int], steps: int = 400, rate: float =
 
 def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel:
     """The model of a bounded sample of labelled documents: `sample` ids of either label at most, by hash; a document without text counts as empty.
-    Labels other than 0 and 1, null ids and labels without a document are left out."""
-    known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
+    Labels other than 0 and 1, null ids and labels without a document are left out; of repeated labels the higher counts."""
+    known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = known.where("_toxic = 1").orderBy(*order).limit(sample).union(known.where("_toxic = 0").orderBy(*order).limit(sample))
-    texts = docs.select(F.col("doc_id"), "text").join(F.broadcast(picked), "doc_id")
+    kind = dict(docs.dtypes)["doc_id"]
+    texts = cut(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"))
+    sketches = map_batches(texts, lambda c: {"doc_id": c["doc_id"], "sketch": [sketch(t) for t in c["text"]], "toxic": c["_toxic"]}, f"doc_id {kind}, sketch array<bigint>, toxic int").toArrow().sort_by("doc_id").to_pylist()
+    first = {r["doc_id"]: r["toxic"] for r, f in zip(sketches, first_copies([r["sketch"] for r in sketches]), strict=True) if f}  # 2 * sample at most
+    n = sum(first.values())
+    if not n or n == len(first):
+        return fit({}, [], [Counter()] * len(first), list(first.values()))
+    kept = texts.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in first], f"doc_id {kind}")), "doc_id", "left_semi")
+    made = map_batches(kept, lambda c: {"toxic": c["_toxic"], "f": [list(features(t)) for t in c["text"]]}, "toxic int, f array<string>")
+    seen = made.select("toxic", F.explode("f").alias("f")).groupBy("f").agg(F.sum("toxic").alias("n"), F.count(F.lit(1)).alias("all")).where(F.col("all") >= LEAST_DOCS)
+    strong = seen.select("f", association(F.col("n"), F.col("all") - F.col("n"), n, len(first) - n).alias("z")).where(F.abs("z") >= LEAST_Z)
+    strength = {r["f"]: r["z"] for r in strong.orderBy(F.abs("z").desc(), "f").limit(4 * FEATURES).collect()}
+    chosen = most_telling(strength)
+    chooser = OrdinalModel(dict.fromkeys(chosen, 1.0), ())
 
     def count(cols: dict) -> dict:
-        found = [words_of(t) for t in cols["text"]]
-        return {"doc_id": cols["doc_id"], "toxic": cols["_toxic"], "words": [list(c) for c in found], "counts": [list(c.values()) for c in found]}
+        found = [chooser.counts(t, {}) for t in cols["text"]]
+        return {"doc_id": cols["doc_id"], "f": [list(c) for c in found], "n": [list(c.values()) for c in found]}
 
-    rows = map_batches(texts, count, f"doc_id {dict(docs.dtypes)['doc_id']}, toxic int, words array<string>, counts array<int>").toArrow().sort_by("doc_id").to_pylist()
-    return fit([Counter(dict(zip(r["words"], r["counts"], strict=True))) for r in rows], [r["toxic"] for r in rows])
+    rows = map_batches(kept, count, f"doc_id {kind}, f array<string>, n array<int>").toArrow().sort_by("doc_id").to_pylist()
+    return fit(strength, chosen, [Counter(dict(zip(r["f"], r["n"], strict=True))) for r in rows], [first[r["doc_id"]] for r in rows])
 
 
 def grade_toxicity(docs: DataFrame, model: OrdinalModel, toxic_from: float = TOXIC_FROM) -> DataFrame:
@@ -137,8 +205,8 @@ def grade_toxicity(docs: DataFrame, model: OrdinalModel, toxic_from: float = TOX
     docs = docs.drop("expected_severity", "severity", "toxic")
     sent = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES words at most
 
-    def grade(cols: dict) -> dict:
-        got = [sent.value.severity(t) for t in cols["text"]]
+    def grade(cols: dict, known: dict) -> dict:
+        got = [sent.value.severity(t, known) for t in cols["text"]]
         return cols | {"expected_severity": [round(s, 6) for s, _ in got], "severity": [g for _, g in got], "toxic": [s >= toxic_from for s, _ in got]}
 
-    return map_batches(docs, grade, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", expected_severity double, severity int, toxic boolean")
+    return map_batches(docs, grade, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", expected_severity double, severity int, toxic boolean", dict)
