@@ -35,7 +35,7 @@ from .common import cut, map_batches
 SAMPLE = 4000
 #: Features that the model may weigh, the least documents that have one, and the least strength of its association with the label (in standard deviations).
 FEATURES, LEAST_DOCS, LEAST_Z = 5000, 4, 4.2
-#: A document is toxic from this expected severity on.
+#: Where no cut can be fitted, a document is toxic from this expected severity on.
 TOXIC_FROM = 0.5
 GRADES = 3
 
@@ -63,6 +63,7 @@ def features(text: str | None) -> Counter:
 class OrdinalModel:
     weights: dict[str, float]
     thresholds: tuple[float, ...]
+    toxic_from: float = TOXIC_FROM
 
     def counts(self, text: str | None, known: dict[str, tuple[str, ...]]) -> Counter:
         """Counts of the features that have a weight. known: what earlier words had."""
@@ -128,7 +129,7 @@ def first_copies(sketches: list[list[int]], alike: int = 6) -> list[bool]:
     return first
 
 
-def fit(strength: dict[str, float], chosen: list[str], counts: list[Counter], toxic: list[int], steps: int = 800, rate: float = 0.1, ridge: float = 1e-4) -> OrdinalModel:
+def fit(strength: dict[str, float], chosen: list[str], counts: list[Counter], toxic: list[int], steps: int = 1500, rate: float = 0.1, ridge: float = 1e-5) -> OrdinalModel:
     """The model of labelled counts of the chosen features. With one label or none only the thresholds are fitted, and nothing is toxic on words."""
     place = {f: i for i, f in enumerate(chosen)}
     marked = {f for f in chosen if strength[f] > 0}
@@ -168,7 +169,20 @@ def fit(strength: dict[str, float], chosen: list[str], counts: list[Counter], to
         w, t = w - move[: len(w)], t - move[len(w) :]
         t[1:] = np.clip(t[1:], -6, 3)
     theta = t[0] + np.concatenate([[0.0], np.cumsum(np.exp(t[1:]))])
-    return OrdinalModel({word: float(w[i]) for word, i in place.items()}, tuple(map(float, theta)))
+    x = np.bincount(rows, vals * w[cols], len(counts)) if len(rows) else np.zeros(len(counts))
+    expected = (1 / (1 + np.exp(np.clip(theta - x[:, None], -700, 700)))).sum(1)
+    return OrdinalModel({word: float(w[i]) for word, i in place.items()}, tuple(map(float, theta)), best_cut(expected, np.array(toxic)))
+
+
+def best_cut(expected: np.ndarray, toxic: np.ndarray) -> float:
+    """The expected severity with the best F1 in the sample, halfway (in logarithms) to the next lower one there."""
+    levels, at = np.unique(expected, return_inverse=True)
+    if len(levels) < 2 or not toxic.any():
+        return TOXIC_FROM
+    hits = np.cumsum(np.bincount(at, toxic, len(levels))[::-1])[::-1]
+    taken = np.cumsum(np.bincount(at, minlength=len(levels))[::-1])[::-1]
+    k = 1 + int(np.argmax((2 * hits / (taken + toxic.sum()))[1:]))  # the lowest level is that of no evidence
+    return float(np.sqrt(levels[k - 1] * levels[k]))
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel:
@@ -200,13 +214,13 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalM
     return fit(strength, chosen, [Counter(dict(zip(r["f"], r["n"], strict=True))) for r in rows], [first[r["doc_id"]] for r in rows])
 
 
-def grade_toxicity(docs: DataFrame, model: OrdinalModel, toxic_from: float = TOXIC_FROM) -> DataFrame:
+def grade_toxicity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """docs with expected_severity (0 to 3), severity (the likeliest grade) and toxic. Null and empty texts have the severity of no evidence; rows and other columns stay; columns of the new names are replaced."""
     docs = docs.drop("expected_severity", "severity", "toxic")
     sent = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES words at most
 
     def grade(cols: dict, known: dict) -> dict:
         got = [sent.value.severity(t, known) for t in cols["text"]]
-        return cols | {"expected_severity": [round(s, 6) for s, _ in got], "severity": [g for _, g in got], "toxic": [s >= toxic_from for s, _ in got]}
+        return cols | {"expected_severity": [round(s, 6) for s, _ in got], "severity": [g for _, g in got], "toxic": [s >= model.toxic_from for s, _ in got]}
 
     return map_batches(docs, grade, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", expected_severity double, severity int, toxic boolean", dict)
