@@ -69,6 +69,6 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def buckets_for(rows: int, each: int = 20_000, least: int = 16) -> int:
-    """A power of two: so many buckets hold about `each` rows."""
-    return 1 << max(least.bit_length() - 1, (max(1, rows) // each).bit_length())
+def buckets_for(rows: int) -> int:
+    """A power of two for splitting rows by hash: buckets of a few hundred rows in small tables, of up to 20,000 in large ones."""
+    return 1 << max(4, max(rows // 20_000, min(rows // 400, 4096)).bit_length() - 1)
