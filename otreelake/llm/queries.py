@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, neardup, quality, secret_scan, toxicity, url_filter
+from . import bpe, chat, fingerprint, mixing, neardup, quality, secret_scan, toxicity, url_filter
 from .common import map_batches, pa_schema, table
 
 #: The rules that op1 judges by.
@@ -65,6 +65,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -138,6 +143,6 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold=(85, 100))
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op2_toxicity": op2_toxicity, "op3_mixing": op3_mixing, "op4_quality": op4_quality, "op6_chat": op6_chat, "op7_bpe": op7_bpe, "op8_secrets": op8_secrets, "op10_neardup": op10_neardup}
+QUERIES = {"op1_url_filter": op1_url_filter, "op2_toxicity": op2_toxicity, "op3_mixing": op3_mixing, "op4_quality": op4_quality, "op5_fingerprint": op5_fingerprint, "op6_chat": op6_chat, "op7_bpe": op7_bpe, "op8_secrets": op8_secrets, "op10_neardup": op10_neardup}
 
 ORACLES = {"op1_url_filter": OP1_SQL, "op3_mixing": OP3_SQL, "op6_chat": OP6_SQL}
