@@ -1,11 +1,61 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: toxic documents go, one of each group of near copies stays, secrets are blacked out, sources are mixed to
+their target weights, and what is left is encoded.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Between two stages
+the documents are written as Parquet and read again, so a stage's lost executors cost that stage's work only.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from otreelake.llm import bpe, mixing, neardup, secret_scan, toxicity
+from otreelake.llm.common import shared_dir, table
+from otreelake.llm.queries import VOCABULARY
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the ordinal model finds toxic."""
+    return toxicity.drop_toxic(docs, toxicity.fit_on(docs, table(spark, sf_dir, "labels")))
+
+
+def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of every group of near copies (five words, similarity 0.8)."""
+    return neardup.keep_one(docs)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts [SECRET] in the place of every secret."""
+    return secret_scan.redact_secrets(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids of every document."""
+    encoded = bpe.bpe_encode(docs, VOCABULARY)
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [("toxicity", toxicity_stage), ("minhash_near_dedup", neardup_stage), ("secret_scans", secrets_stage), ("mixing", mixing_stage), ("bpe", bpe_stage)]
 
+#: The classifier and the signatures have no SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. What lies between them is in the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{k}-{name}")
+            docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    return docs

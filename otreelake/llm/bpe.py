@@ -183,10 +183,10 @@ def loader(df: DataFrame, vocabulary: str):
 def bpe_encode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id and ids array<int> for each row; no ids for null and empty texts. Repeated rows stay; other columns are not read."""
     kind = dict(docs.dtypes)[id_column]
-    return map_batches(docs.select(id_column, text_column), lambda c, bpe: {id_column: c[id_column], "ids": [bpe.encode(t) for t in c[text_column]]}, f"{id_column} {kind}, ids array<int>", loader(docs, vocabulary))
+    return map_batches(docs.select(id_column, text_column), lambda c, bpe: {"ids": [bpe.encode(t) for t in c[text_column]]}, f"{id_column} {kind}, ids array<int>", loader(docs, vocabulary))
 
 
 def bpe_decode(encoded: DataFrame, vocabulary: str, id_column: str = "doc_id") -> DataFrame:
     """id and decoded string for each row of (id, ids); null ids decode as no ids."""
     kind = dict(encoded.dtypes)[id_column]
-    return map_batches(encoded.select(id_column, "ids"), lambda c, bpe: {id_column: c[id_column], "decoded": [bpe.decode(x or []) for x in c["ids"]]}, f"{id_column} {kind}, decoded string", loader(encoded, vocabulary))
+    return map_batches(encoded.select(id_column, "ids"), lambda c, bpe: {"decoded": [bpe.decode(x or []) for x in c["ids"]]}, f"{id_column} {kind}, decoded string", loader(encoded, vocabulary))

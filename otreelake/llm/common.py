@@ -40,8 +40,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def map_batches(df: DataFrame, fn: Callable[[dict], dict], schema: str, setup: Callable[[], object] | None = None) -> DataFrame:
-    """Arrow batches through fn, which gets lists by column name and returns lists by column name.
+class Columns(dict):
+    """A batch's columns by name, as lists; each is converted when it is first read."""
+
+    def __init__(self, names: list[str], batch: pa.RecordBatch) -> None:
+        self.arrays = dict(zip(names, batch.columns, strict=True))
+
+    def __missing__(self, name: str) -> list:
+        self[name] = values = self.arrays[name].to_pylist()
+        return values
+
+
+def map_batches(df: DataFrame, fn: Callable[..., dict], schema: str, setup: Callable[[], object] | None = None) -> DataFrame:
+    """Arrow batches through fn, which gets Columns and returns lists by column name; columns of the schema that it does not return pass as they are.
 
     setup() runs once a partition, on the executor; its result is fn's second argument."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -51,12 +62,26 @@ def map_batches(df: DataFrame, fn: Callable[[dict], dict], schema: str, setup: C
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = () if setup is None else (setup(),)
         for batch in batches:
-            got = fn(dict(zip(names, (c.to_pylist() for c in batch.columns), strict=True)), *made)
-            yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in out_type], schema=out_type)
+            cols = Columns(names, batch)
+            got = fn(cols, *made)
+            yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) if f.name in got else cols.arrays[f.name].cast(f.type) for f in out_type], schema=out_type)
 
     return df.mapInArrow(run, schema)
 
 
+def filter_batches(df: DataFrame, keep: Callable[..., list[bool]], setup: Callable[[], object] | None = None) -> DataFrame:
+    """The rows of df for which keep, given Columns, says true; all columns pass as they are."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = () if setup is None else (setup(),)
+        for batch in batches:
+            yield batch.filter(pa.array(keep(Columns(names, batch), *made), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def pa_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string

@@ -85,6 +85,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_share: float
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as rows with docs' columns: a document comes once for each time it is taken, and a part of half its words or more counts as whole."""
+    # The row goes along as one column, so its columns may have any names.
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "source", "text")
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(1))
-    mixed = mix(docs, **options).withColumn("_copies", copies.cast("int")).where("_copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    mixed = mix(rows, **options).withColumn("_copies", copies.cast("int")).where("_copies > 0")
+    return mixed.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, mixing, neardup, quality, secret_scan, toxicity, url_filter
+from . import bpe, chat, fingerprint, langid, mixing, neardup, quality, secret_scan, toxicity, url_filter
 from .common import map_batches, pa_schema, table
 
 #: The rules that op1 judges by.
@@ -139,10 +139,15 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"), F.sha2(base, 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict_language(docs, langid.fit_on(docs))
+
+
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold=(85, 100))
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op2_toxicity": op2_toxicity, "op3_mixing": op3_mixing, "op4_quality": op4_quality, "op5_fingerprint": op5_fingerprint, "op6_chat": op6_chat, "op7_bpe": op7_bpe, "op8_secrets": op8_secrets, "op10_neardup": op10_neardup}
+QUERIES = {"op1_url_filter": op1_url_filter, "op2_toxicity": op2_toxicity, "op3_mixing": op3_mixing, "op4_quality": op4_quality, "op5_fingerprint": op5_fingerprint, "op6_chat": op6_chat, "op7_bpe": op7_bpe, "op8_secrets": op8_secrets, "op9_langid": op9_langid, "op10_neardup": op10_neardup}
 
 ORACLES = {"op1_url_filter": OP1_SQL, "op3_mixing": OP3_SQL, "op6_chat": OP6_SQL}

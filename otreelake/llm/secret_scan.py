@@ -169,8 +169,8 @@ def redact_secrets(docs: DataFrame, text_column: str = "text", length_column: st
 
     def clean(cols: dict) -> dict:
         texts = [redact(t) for t in cols[text_column]]
-        if length_column in cols:
-            cols[length_column] = [n if a == b or b is None else len(b) for n, a, b in zip(cols[length_column], cols[text_column], texts, strict=True)]
-        return cols | {text_column: texts}
+        if length_column not in cols.arrays:
+            return {text_column: texts}
+        return {text_column: texts, length_column: [n if a == b or b is None else len(b) for n, a, b in zip(cols[length_column], cols[text_column], texts, strict=True)]}
 
     return map_batches(docs, clean, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes))

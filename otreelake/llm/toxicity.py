@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches
+from .common import cut, filter_batches, map_batches
 
 #: Labelled documents of either label that the fit reads at most.
 SAMPLE = 4000
@@ -221,6 +221,12 @@ def grade_toxicity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
 
     def grade(cols: dict, known: dict) -> dict:
         got = [sent.value.severity(t, known) for t in cols["text"]]
-        return cols | {"expected_severity": [round(s, 6) for s, _ in got], "severity": [g for _, g in got], "toxic": [s >= model.toxic_from for s, _ in got]}
+        return {"expected_severity": [round(s, 6) for s, _ in got], "severity": [g for _, g in got], "toxic": [s >= model.toxic_from for s, _ in got]}
 
     return map_batches(docs, grade, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", expected_severity double, severity int, toxic boolean", dict)
+
+
+def drop_toxic(docs: DataFrame, model: OrdinalModel) -> DataFrame:
+    """docs without those that the model finds toxic; rows that stay are unchanged, whatever their columns are called."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return filter_batches(docs, lambda cols, known: [sent.value.severity(t, known)[0] < sent.value.toxic_from for t in cols["text"]], dict)
