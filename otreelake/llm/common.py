@@ -34,10 +34,12 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared folder; a lost executor costs no recomputation of what lies before."""
+def cut(df: DataFrame, rows: int | None = None, each: int = 20_000) -> DataFrame:
+    """df, computed once and written to the shared folder; a lost executor costs no recomputation of what lies before.
+
+    rows: about how many there are; then no more files are written than hold `each` of them (12 at least), instead of one for every shuffle partition."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(max(12, rows // each))).checkpoint(eager=True)
 
 
 class Columns(dict):

@@ -214,13 +214,13 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(_id, component) of every node of edges (a, b): component is the smallest node that can be reached. With rounds, that many
     contractions at most; components may then still be parts of the true ones."""
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v")
-    seen = None
+    seen, n = None, edges.count()
     while rounds is None or rounds > 0:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges = cut(large.join(smallest, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u > v").distinct())
+        edges = cut(large.join(smallest, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u > v").distinct(), n)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
@@ -263,23 +263,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
     signed = cut(signatures(keyed, words))
-    classes = cut(signed.where("set_key IS NOT NULL AND _id IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("_id", "keys", "sketch")).alias("s"), F.count(F.lit(1)).alias("n")).select("set_key", "s.*", "n"))
+    n = signed.count()
+    classes = cut(signed.where("set_key IS NOT NULL AND _id IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("_id", "keys", "sketch")).alias("s"), F.count(F.lit(1)).alias("n")).select("set_key", "s.*", "n"), n)
     plausible = least_likeness(threshold)
 
-    found = cut(forest(classes, plausible, across=False).groupBy("_id", "other").agg(F.max("likeness").alias("likeness")))
+    found = cut(forest(classes, plausible, across=False).groupBy("_id", "other").agg(F.max("likeness").alias("likeness")), n)
     place = F.row_number().over(Window.partitionBy("_id").orderBy(F.desc("likeness"), "other"))  # of 3 * TREES rows at most
-    first = cut(found.withColumn("place", place).where("place <= 2").select(*pair("_id", "other")).distinct())
-    needed = cut(found.select(F.explode(F.array("_id", "other")).alias("_id")).distinct())
-    texts = cut(only_needed(keyed, needed).groupBy("_id").agg(F.min("text").alias("text")))
-    checked = cut(confirmed(first, texts, words, threshold))
+    first = cut(found.withColumn("place", place).where("place <= 2").select(*pair("_id", "other")).distinct(), n)
+    needed = cut(found.select(F.explode(F.array("_id", "other")).alias("_id")).distinct(), n)
+    texts = cut(only_needed(keyed, needed).groupBy("_id").agg(F.min("text").alias("text")), n)
+    checked = cut(confirmed(first, texts, words, threshold), first.count(), 2000)
 
     joined = components(checked.where("linked").select("a", "b"), rounds=3)
-    open_ = cut(classes.select("_id", "keys", "sketch").join(needed, "_id", "left_semi").join(joined, "_id", "left").withColumn("component", F.coalesce("component", "_id")))
-    rest = forest(open_, plausible, across=True).select(*pair("_id", "other")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    more = cut(confirmed(cut(rest), texts, words, threshold))
+    open_ = cut(classes.select("_id", "keys", "sketch").join(needed, "_id", "left_semi").join(joined, "_id", "left").withColumn("component", F.coalesce("component", "_id")), n)
+    rest = cut(forest(open_, plausible, across=True).select(*pair("_id", "other")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), n)
+    more = cut(confirmed(rest, texts, words, threshold), rest.count(), 2000)
 
-    final = cut(components(checked.union(more).where("linked").select("a", "b")))
-    labelled = cut(classes.select("set_key", "_id").join(final, "_id", "left").select("set_key", F.coalesce("component", "_id").alias("component")))
+    final = cut(components(checked.union(more).where("linked").select("a", "b")), n)
+    labelled = cut(classes.select("set_key", "_id").join(final, "_id", "left").select("set_key", F.coalesce("component", "_id").alias("component")), n)
     rows = signed.select("_id", "n_shingles", "set_key").join(labelled, "set_key", "left")
     component = F.when(F.col("_id").isNotNull(), F.coalesce("component", "_id"))
     return rows.select(F.col("_id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(True)).alias("kept"))
