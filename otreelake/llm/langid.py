@@ -157,10 +157,14 @@ def held_out(doc_id: str = "doc_id"):
 def fit_on(docs: DataFrame) -> Network | None:
     """The network of a bounded sample of documents that are not held out and have a language; None where there are none."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
-    common = [r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    # The rank's limit goes below the shuffle: each task passes on SAMPLE_DOCS ids of a language at most.
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    if not counts:
+        return None
+    # About three times as many as are wanted of each language, by hash; only those are ranked.
+    share = F.element_at(F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, 3.0 * SAMPLE_DOCS / n))), F.col("lang"))
+    few = usable.select("doc_id", "lang").where((F.xxhash64("doc_id").bitwiseAND(0xFFFFFF) / float(1 << 24)) < share)
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = usable.select("doc_id", "lang").where(F.col("lang").isin(common)).withColumn("place", place).where(F.col("place") <= SAMPLE_DOCS).select(F.col("doc_id").alias("_of"), F.col("lang").alias("_lang"))
+    ids = few.withColumn("place", place).where(F.col("place") <= SAMPLE_DOCS).select(F.col("doc_id").alias("_of"), F.col("lang").alias("_lang"))
     picked = usable.join(F.broadcast(ids), (F.col("doc_id") == F.col("_of")) & (F.col("lang") == F.col("_lang"))).select("doc_id", "lang", "text")
 
     def sample(cols: dict) -> dict:
