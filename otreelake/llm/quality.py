@@ -89,7 +89,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> Da
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0, ["n", "good"])
     listed = every.agg(F.array_sort(F.collect_list(F.struct("bucket", "n", "good"))).alias("all"), F.sum("n").alias("n"), F.sum("good").alias("good"))
-    ratio = lambda s: F.log((s["good"] + PRIOR) / (s["n"] * F.coalesce(F.col("good") / F.col("n"), F.lit(0.0)) + PRIOR))
+    ratio = lambda s: F.log((s["good"] + PRIOR) / (s["n"] * F.coalesce(F.try_divide(F.col("good"), F.col("n")), F.lit(0.0)) + PRIOR))
     return listed.select(F.array_join(F.transform("all", lambda s: F.round(ratio(s), 5).cast("string")), ",").alias("ratios"))
 
 

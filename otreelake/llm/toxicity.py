@@ -130,7 +130,7 @@ def first_copies(sketches: list[list[int]], alike: int = 6) -> list[bool]:
 
 
 def fit(strength: dict[str, float], chosen: list[str], counts: list[Counter], toxic: list[int], steps: int = 1500, rate: float = 0.1, ridge: float = 1e-5) -> OrdinalModel:
-    """The model of labelled counts of the chosen features. With one label or none only the thresholds are fitted, and nothing is toxic on words."""
+    """The model of labelled counts of the chosen features."""
     place = {f: i for i, f in enumerate(chosen)}
     marked = {f for f in chosen if strength[f] > 0}
     evidence = [sum(n for w, n in c.items() if w in marked) for c in counts]
@@ -144,7 +144,6 @@ def fit(strength: dict[str, float], chosen: list[str], counts: list[Counter], to
     w = np.zeros(len(place))
     # t_1 and the logarithms of the steps to t_2 and t_3
     t = np.array([3.0, *([0.0] * (GRADES - 1))])
-    reached = (grade[:, None] >= np.arange(1, GRADES + 1)).astype(float) if len(grade) else np.zeros((0, GRADES))
     moment, speed = np.zeros(len(w) + GRADES), np.zeros(len(w) + GRADES)
     for step in range(1, steps + 1):
         x = np.bincount(rows, vals * w[cols], len(counts)) if len(rows) else np.zeros(len(counts))
@@ -187,7 +186,8 @@ def best_cut(expected: np.ndarray, toxic: np.ndarray) -> float:
 
 def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel:
     """The model of a bounded sample of labelled documents: `sample` ids of either label at most, by hash; a document without text counts as empty.
-    Labels other than 0 and 1, null ids and labels without a document are left out; of repeated labels the higher counts."""
+    Labels other than 0 and 1, null ids and labels without a document are left out; of repeated labels the higher counts. Where only one label
+    occurs there is nothing to learn, and the model finds nothing toxic."""
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = known.where("_toxic = 1").orderBy(*order).limit(sample).union(known.where("_toxic = 0").orderBy(*order).limit(sample))
@@ -197,7 +197,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalM
     first = {r["doc_id"]: r["toxic"] for r, f in zip(sketches, first_copies([r["sketch"] for r in sketches]), strict=True) if f}  # 2 * sample at most
     n = sum(first.values())
     if not n or n == len(first):
-        return fit({}, [], [Counter()] * len(first), list(first.values()))
+        return OrdinalModel({}, (3.0, 4.0, 5.0))
     kept = texts.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in first], f"doc_id {kind}")), "doc_id", "left_semi")
     made = map_batches(kept, lambda c: {"toxic": c["_toxic"], "f": [list(features(t)) for t in c["text"]]}, "toxic int, f array<string>")
     seen = made.select("toxic", F.explode("f").alias("f")).groupBy("f").agg(F.sum("toxic").alias("n"), F.count(F.lit(1)).alias("all")).where(F.col("all") >= LEAST_DOCS)
