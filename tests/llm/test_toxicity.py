@@ -12,7 +12,7 @@ def labelled(spark, frame, prose):
     rows, labels = [], []
     for k in range(300):
         toxic = k % 5 == 0
-        bad = " ".join(["vilekin", "grobbet", "vilekor"][: 1 + k % 3]) if toxic else ""
+        bad = ["vilekin", "vilekor grobbet", "vilekam vilekus"][k // 5 % 3] if toxic else ""
         rows.append((k, f"{prose(k, 60)} {bad} {prose(1000 + k, 40)}", "en", "s"))
         labels.append((k, 1, int(toxic)))
     return frame(rows), spark.createDataFrame([*labels, (None, 1, 1), (9999, 0, 1), (3, 0, None)], "doc_id bigint, quality int, toxic int")
