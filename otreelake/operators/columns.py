@@ -27,13 +27,14 @@ def select_columns(df: DataFrame, most: int) -> list[str]:
     as_number = {n: F.hash(f"`{n}`").cast("double") if k == "string" else number_column(F.col(f"`{n}`"), k) for n, k in kinds.items()}
     numbers = df.select(*(as_number[n].alias(f"c{i}") for i, n in enumerate(names)))
     pairs = [(i, j) for i in range(len(names)) for j in range(i)]
-    row = numbers.agg(F.count(F.lit(1)).alias("n"), *(F.corr(f"c{i}", f"c{j}").alias(f"r{i}_{j}") for i, j in pairs)).first()
+    corr = lambda a, b: F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))  # noqa: E731  null, not an error, for a column with one value
+    row = numbers.agg(F.count(F.lit(1)).alias("n"), *(corr(f"c{i}", f"c{j}").alias(f"r{i}_{j}") for i, j in pairs)).first()
     if not row["n"]:
         return names[:most]
     total = [0.0] * len(names)
     for i, j in pairs:
         r = row[f"r{i}_{j}"]
-        r = 0.0 if r is None or r != r else abs(r)  # a column with one value goes with none
+        r = 0.0 if r is None or r != r else abs(r)
         total[i] += r
         total[j] += r
     chosen = sorted(range(len(names)), key=lambda i: (total[i], i))[:most]

@@ -216,22 +216,13 @@ def with_cubes(df: DataFrame, placed: Placed, groups: dict[Cube, int]) -> DataFr
 
 
 def roll_up(expected: dict[Cube, float], limit: float) -> dict[Cube, Cube]:
-    """From the leaves up: a cube whose gathered rows are fewer than limit goes into its next sibling's group, or its parent's. The cube that names each cube's file."""
-    groups: dict[Cube, tuple[list[Cube], float]] = {c: ([c], n) for c, n in expected.items()}
-    for cube in sorted(expected, key=lambda c: (-c.depth, c.code)):
-        members, n = groups[cube]
-        parent = cube.parent()
-        if n >= limit or parent is None:
-            continue
-        onto = next((s for s in siblings_after(cube) if s in groups), None) or parent
-        held = groups.get(onto, ([], 0.0))
-        groups[onto] = held[0] + members, held[1] + n
-        del groups[cube]
-    return {c: name for name, (members, _) in groups.items() for c in members}
-
-
-def siblings_after(cube: Cube):
-    following = cube.next_sibling()
-    while following is not None:
-        yield following
-        following = following.next_sibling()
+    """The cube that names each cube's file: from the deepest level up, a group of fewer rows than limit joins its parent's."""
+    members: dict[Cube, list[Cube]] = {c: [c] for c in expected}
+    rows = dict(expected)
+    for depth in range(max((c.depth for c in expected), default=0), 0, -1):
+        for cube in sorted((c for c in rows if c.depth == depth), key=lambda c: c.code):
+            if rows[cube] < limit:
+                parent = cube.parent()
+                rows[parent] = rows.get(parent, 0) + rows.pop(cube)
+                members.setdefault(parent, []).extend(members.pop(cube))
+    return {c: name for name, own in members.items() for c in own}

@@ -1,6 +1,7 @@
 """spark.read.format("otree"): a thin source in pure Python over tables on a local or mounted file system.
 
-It prunes files by the filters that Spark pushes down; Spark evaluates them again. The scan of OTreeTable reads natively and is to be preferred.
+It reads all files: Spark keeps a Python reader between the queries of one DataFrame, so filters that one query pushes down would hold for the
+next. The scan of OTreeTable prunes, reads natively and is to be preferred.
 """
 
 from __future__ import annotations
@@ -14,8 +15,6 @@ from pyspark.sql import SparkSession
 from pyspark.sql import datasource as ds
 from pyspark.sql import types as T
 
-from ..plans import predicate as pr
-from ..plans.pruning import select_files, weight_range
 from .log import Log
 
 
@@ -40,40 +39,18 @@ def local_log(path: str) -> Log:
     return log
 
 
-_OPS = {ds.EqualTo: "=", ds.GreaterThan: ">", ds.GreaterThanOrEqual: ">=", ds.LessThan: "<", ds.LessThanOrEqual: "<="}
-
-
-def as_predicate(f: ds.Filter) -> pr.Predicate:
-    name = ".".join(f.attribute) if hasattr(f, "attribute") else None
-    if type(f) in _OPS:
-        return pr.Compare(name, _OPS[type(f)], f.value)
-    if isinstance(f, ds.In):
-        return pr.IsIn(name, tuple(f.value))
-    if isinstance(f, ds.IsNull | ds.IsNotNull):
-        return pr.IsNull(name, isinstance(f, ds.IsNotNull))
-    if isinstance(f, ds.StringStartsWith):
-        return pr.Compare(name, ">=", f.value)
-    return pr.Opaque()
-
-
 class OTreeReader(ds.DataSourceReader):
     def __init__(self, path: str, schema: T.StructType) -> None:
         self.path, self.schema = path, schema
-        self.predicate: pr.Predicate = pr.Opaque()
-
-    def pushFilters(self, filters: list[ds.Filter]) -> Iterator[ds.Filter]:  # noqa: N802
-        self.predicate = pr.And(tuple(map(as_predicate, filters))) if filters else pr.Opaque()
-        yield from filters
 
     def partitions(self) -> list[ds.InputPartition]:
-        state = local_log(self.path).snapshot()
-        return [ds.InputPartition(f.path) for f in select_files(state, self.predicate, weight_range(None))] or [ds.InputPartition(None)]
+        return [ds.InputPartition(path) for path in local_log(self.path).snapshot().files] or [ds.InputPartition(None)]
 
     def read(self, partition: ds.InputPartition) -> Iterator[pa.RecordBatch]:
         if partition.value is None:
             return
         names = self.schema.names
-        with pq.ParquetFile(os.path.join(LocalStore(self.path).root, partition.value)) as file:
+        with pq.ParquetFile(os.path.join(LocalStore(self.path).root, partition.value), coerce_int96_timestamp_unit="us") as file:
             for batch in file.iter_batches(columns=[n for n in names if n in file.schema_arrow.names]):
                 yield pa.RecordBatch.from_arrays([batch[n] if n in batch.schema.names else pa.nulls(len(batch)) for n in names], names=names)
 
@@ -91,5 +68,4 @@ class OTreeSource(ds.DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(OTreeSource)
