@@ -74,9 +74,10 @@ def collected(rows: list[dict], fields: list[T.StructField]) -> dict:
 def write_files(df: DataFrame, placed: Placed, store: Store, data_change: bool = True) -> list[IndexFile]:
     """df's rows as files below data/, described.
 
-    A group of cubes holds cube size rows or more, where there are as many, and is one file. Rows are shuffled once, by group. Blocks and statistics come
+    A group of cubes holds half the cube size or more, where there are as many, and is one file: leaves are rarely full, and with the whole size as limit
+    nearly all would lie in their parents' files. Rows are shuffled once, by group. Blocks and statistics come
     from the written files, of which the scan needs only the indexed and the described columns, so the input is not computed again."""
-    names = roll_up(placed.expected, placed.revision.cube_size)
+    names = roll_up(placed.expected, placed.revision.cube_size / 2)
     number = {name: i for i, name in enumerate(sorted(set(names.values()), key=lambda c: c.order_key()))}
     groups = {cube: number[name] for cube, name in names.items()}
     staging = f"_staging-{uuid.uuid4().hex}"
