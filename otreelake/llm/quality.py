@@ -24,7 +24,9 @@ PRIOR = 5.0
 #: A document is kept from this mean log ratio on.
 LEAST_SCORE = -0.13
 
-SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
+SYMBOLS = "#*$%&|<>"
+#: Repeated windows of a text that are looked up one by one at most; beyond, sorting finds their places.
+FEW = 64
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -36,44 +38,59 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
+def hashes(words: Column) -> Column:
+    """A 64-bit hash of every word; windows and n-grams read these and not the strings."""
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def n_repeat_words(words: Column) -> Column:
-    """Words that lie in a 3-word window found twice or more."""
+    """Words (as hashes) that lie in a 3-word window found twice or more."""
 
     def covered(places: Column) -> Column:
         """Each place covers three words, less what the next place covers."""
         gaps = F.transform(places, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(places, i + 1), p + 3) - p))
         return F.aggregate(gaps, F.lit(0), lambda a, g: a + g)
 
-    def places(ordered: Column) -> Column:
-        """Where windows are that equal the one before or after them in the sorted order."""
-        same = lambda s, at: F.coalesce(F.get(ordered, at)["h"] == s["h"], F.lit(False))
-        return F.array_sort(F.transform(F.filter(ordered, lambda s, i: same(s, i - 1) | same(s, i + 1)), lambda s: s["i"]))
+    def by_search(h: Column, repeated: Column) -> Column:
+        """Places of windows that are among the repeated ones: looked up one by one while those are few."""
+        return F.filter(F.transform(h, lambda x, i: F.when(F.array_contains(repeated, x), i)), lambda i: i.isNotNull())
+
+    def by_sort(h: Column) -> Column:
+        """The same for any number of repeated windows: next to an equal one in the sorted order."""
+
+        def places(ordered: Column) -> Column:
+            same = lambda s, at: F.coalesce(F.get(ordered, at)["h"] == s["h"], F.lit(False))
+            return F.sort_array(F.transform(F.filter(ordered, lambda s, i: same(s, i - 1) | same(s, i + 1)), lambda s: s["i"]))
+
+        return let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), places)
 
-    def repeated(h: Column) -> Column:
-        ordered = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(ordered, lambda s: let(places(s), covered)))
+    def counted(h: Column) -> Column:
+        twice = let(F.sort_array(h), lambda s: F.array_distinct(F.filter(s, lambda x, i: F.coalesce(F.get(s, i + 1) == x, F.lit(False)))))
+        found = let(twice, lambda r: F.when(F.size(r) <= FEW, let(by_search(h, r), covered)).otherwise(let(by_sort(h), covered)))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(found)
 
     windows = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-    return F.when(F.size(words) < 3, F.lit(0)).otherwise(let(words, lambda w: let(windows(w), repeated))).cast("long")
+    return F.when(F.size(words) < 3, F.lit(0)).otherwise(let(words, lambda w: let(windows(w), counted))).cast("long")
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text and others) as doc_id, words and the counts. Null text is empty."""
+    """docs (doc_id, text and others) as doc_id, words (hashes) and the counts. Null text is empty."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    without = lambda chars: F.length(F.translate(text, chars, ""))
-    counted = docs.select(
+    split = docs.select("doc_id", "text", words_of(F.col("text")).alias("_words"))
+    counted = split.select(
         "doc_id",
-        words_of(F.col("text")).alias("words"),
-        without(SPACES).cast("long").alias("word_chars"),
-        (F.length(text) - without(SYMBOLS)).cast("long").alias("n_symbols"),
+        hashes(F.col("_words")).alias("words"),
+        F.length(F.concat_ws("", "_words")).cast("long").alias("word_chars"),
+        F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     )
     return counted.select("*", F.size("words").cast("long").alias("n_words"), n_repeat_words(F.col("words")).alias("n_repeat_words"))
 
 
-def bucket(*words: Column) -> Column:
-    return F.xxhash64(*words).bitwiseAND(BUCKETS - 1).cast("int")
+def bucket(one: Column, two: Column | None = None) -> Column:
+    """Of a word's hash, or of two words'."""
+    return (one if two is None else F.xxhash64(one, two)).bitwiseAND(BUCKETS - 1).cast("int")
 
 
 def ngrams(words: Column) -> Column:
@@ -85,10 +102,10 @@ def log_ratios(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> Da
     """One row, one string: for each bucket the log of the n-gram's share in trusted documents over its share in all, to 5 places."""
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted)
     marked = docs.select("doc_id", "text").join(F.broadcast(good.withColumn("good", F.lit(1))), "doc_id", "left")
-    grams = marked.select(F.coalesce("good", F.lit(0)).alias("good"), F.explode(ngrams(words_of(F.col("text")))).alias("bucket"))
+    grams = marked.select(F.coalesce("good", F.lit(0)).alias("good"), F.explode(ngrams(hashes(words_of(F.col("text"))))).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0, ["n", "good"])
-    listed = every.agg(F.array_sort(F.collect_list(F.struct("bucket", "n", "good"))).alias("all"), F.sum("n").alias("n"), F.sum("good").alias("good"))
+    listed = every.agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "good"))).alias("all"), F.sum("n").alias("n"), F.sum("good").alias("good"))
     ratio = lambda s: F.log((s["good"] + PRIOR) / (s["n"] * F.coalesce(F.try_divide(F.col("good"), F.col("n")), F.lit(0.0)) + PRIOR))
     return listed.select(F.array_join(F.transform("all", lambda s: F.round(ratio(s), 5).cast("string")), ",").alias("ratios"))
 
