@@ -327,6 +327,17 @@ def test_catalog(spark, tmp_path):
         c.table("u")
 
 
+def test_upgrade(spark, tmp_path):
+    df = spark.range(300).select(F.concat(F.substring(F.lit("abcdefghij"), (F.col("id") % 10 + 1).cast("int"), F.lit(1)), F.col("id")).alias("s"))
+    table = write_table(df, str(tmp_path / "t"), columns="s:histogram", cube_size=50)
+    want = bag(df.where("s < 'd'"))
+    assert bag(table.scan("s < 'd'")) == want and len(table.files("s < 'd'")) < len(table.files())
+    assert table.upgrade() and not table.upgrade()
+    assert table.revision().transformers[0].policy == "quantiles" and bag(table.scan("s < 'd'")) == want
+    table.append(df)
+    assert table.revision_ids() == [0, 1] and table.scan().count() == 600
+
+
 def test_columns_are_chosen_by_correlation(spark):
     df = spark.range(1000).select(F.col("id").alias("a"), (F.col("id") * 2).alias("b"), F.rand(3).alias("c"), F.lit("same").alias("s"), F.array("id").alias("no"))
     assert select_columns(df, 2) == ["c", "s"] and select_columns(df.limit(0), 2) == ["a", "b"] and select_columns(df, 9) == ["a", "b", "c", "s"]
