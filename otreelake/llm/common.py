@@ -14,11 +14,18 @@ from pyspark.sql import functions as F
 #: A word: a longest run of characters that are no ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Texts in one Arrow batch; a worker holds one batch at a time, so this bounds its memory.
-BATCH_ROWS = 1000
+#: Texts in one Arrow batch, and in one batch of the Parquet reader; a task holds one of each at a time, so they bound its memory.
+BATCH_ROWS, READ_ROWS = 1000, 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's batch sizes to what whole texts need."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -57,7 +64,7 @@ def map_batches(df: DataFrame, fn: Callable[..., dict], schema: str, setup: Call
     """Arrow batches through fn, which gets Columns and returns lists by column name; columns of the schema that it does not return pass as they are.
 
     setup() runs once a partition, on the executor; its result is fn's second argument."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    small_batches(df.sparkSession)
     names = df.columns
     out_type = pa_schema(df.sparkSession, schema)
 
@@ -73,7 +80,7 @@ def map_batches(df: DataFrame, fn: Callable[..., dict], schema: str, setup: Call
 
 def filter_batches(df: DataFrame, keep: Callable[..., list[bool]], setup: Callable[[], object] | None = None) -> DataFrame:
     """The rows of df for which keep, given Columns, says true; all columns pass as they are."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    small_batches(df.sparkSession)
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, pa_schema
+from .common import pa_schema, small_batches
 
 WINDOW, RUN, VOTES, LEVELS = 64, 64, 16, 1001
 FILTER_BITS, PER_FILTER, HASHES = 2048, 160, 5
@@ -173,7 +173,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, text string, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     types = pa_schema(docs.sparkSession, schema)
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # block, id, text and digest of the row that waits for its next
