@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from .common import cut, map_batches, pa_schema
 
 #: Trees, minima in a key, minima in a sketch.
-TREES, DEPTH, SKETCH = 16, 8, 64
+TREES, DEPTH, SKETCH = 16, 8, 128
 #: Minima that neighbours share at least, and how far back a class looks.
-LEAST_DEPTH, REACH = 3, 16
+LEAST_DEPTH, REACH = 3, 32
 #: Depths whose regions' first classes are candidates too.
 LEADERS = (3, 5, 8)
 #: Rows of a tree handled at once.
