@@ -34,6 +34,7 @@ FDR = 0.001
 _DIGITS, _LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 #: Encodings by size of their alphabets.
 ENCODINGS = {
+    "decimal": _DIGITS,
     "hex": _DIGITS + "abcdef",
     "HEX": _DIGITS + "ABCDEF",
     "base32": _LOWER.upper() + "234567",
