@@ -6,9 +6,10 @@
    Neighbours in that order have the longest common prefixes. Each class looks back at its `REACH` nearest and at the first classes of the
    regions that it is in, as long as `LEAST_DEPTH` minima agree. So depth adapts to the region: in a crowded one the
    neighbours agree deeply, in a sparse one they are as far as the least depth. A candidate's likeness by sketch must be plausible.
-3. First round: for each class the two likeliest candidates are confirmed on full sets, and components formed. Second round: every
-   plausible candidate whose two classes are still in different components is confirmed, with no bound on their number. A large group
-   of near copies is one component after the first round and costs nothing in the second.
+3. First round: for each class the two likeliest candidates are confirmed on full sets, and components formed. It only saves work.
+   Second round: of all pairs of classes that share the first `LEAST_DEPTH` minima of a tree and are still in different components, those
+   that are plausible are confirmed, with no bound on their number or on the size of a region: regions are compared in blocks of
+   `BLOCK`. A large group of near copies is one component after the first round and is not compared with itself in the second.
 4. Components by alternating star contractions (large star, small star), each one aggregate and one join.
 
 Only the texts of classes with candidates are shuffled: a bitmap of fixed size lets the map side leave out nearly all others.
@@ -17,6 +18,7 @@ Only the texts of classes with candidates are shuffled: a bitmap of fixed size l
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,8 @@ LEAST_DEPTH, REACH = 3, 32
 LEADERS = (3, 5, 8)
 #: Rows of a tree handled at once.
 CHUNK = 50_000
+#: Classes of a region that are compared with as many others at once.
+BLOCK = 1024
 #: Bits of the bitmap of ids.
 BITMAP_BITS = 1 << 22
 _SLOTS = TREES * DEPTH + SKETCH
@@ -101,18 +105,16 @@ def least_likeness(threshold: tuple[int, int]) -> float:
     return t - 3.5 * float(np.sqrt(t * (1 - t) / SKETCH))
 
 
-def forest(classes: DataFrame, plausible: float, across: bool) -> DataFrame:
-    """Candidates (_id, other, likeness) from all trees.
-
-    Without across: for each class and tree the likeliest neighbour before it, the likeliest after it, and the likeliest leader. With
-    across: all that are in another component (classes then has `component`)."""
+def forest(classes: DataFrame, plausible: float) -> DataFrame:
+    """Candidates (_id, other, likeness) from all trees: for each class and tree the likeliest neighbour before it, the likeliest after it,
+    and the likeliest leader."""
     width = 2 * DEPTH
-    rows = classes.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))).select("tree", F.expr(f"substring(keys, tree * {width} + 1, {width})").alias("key"), "_id", "sketch", *(["component"] if across else []))
+    rows = classes.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))).select("tree", F.expr(f"substring(keys, tree * {width} + 1, {width})").alias("key"), "_id", "sketch")
     schema = "_id long, other long, likeness float"
     types = pa_schema(classes.sparkSession, schema)
     leaders = [d for d in LEADERS if d >= LEAST_DEPTH]
 
-    def candidates(tree: np.ndarray, key: np.ndarray, ids: np.ndarray, sketch: np.ndarray, component: np.ndarray, old: int) -> pa.RecordBatch | None:
+    def candidates(tree: np.ndarray, key: np.ndarray, ids: np.ndarray, sketch: np.ndarray, old: int) -> pa.RecordBatch | None:
         n = len(ids)
         here = np.arange(n)
         firsts = []
@@ -132,22 +134,20 @@ def forest(classes: DataFrame, plausible: float, across: bool) -> DataFrame:
         kinds += [(i := np.flatnonzero(here - first > REACH), first[i], True) for first in firsts]
         found = []
         for i, j, leads in kinds:
-            fits = (i >= old) & ((component[i] != component[j]) if across else True)
-            i, j = i[fits], j[fits]
+            i, j = i[i >= old], j[i >= old]
             like = ((sketch[i] == sketch[j]).mean(1) - 1 / 256) * (256 / 255)
             fits = like >= plausible
             found.append((i[fits], j[fits], like[fits], np.full(int(fits.sum()), leads)))
         i, j, like, leads = (np.concatenate([f[k] for f in found]) for k in range(4)) if found else (np.zeros(0, int),) * 4
         if not len(i):
             return None
-        if not across:
-            best = np.zeros(len(i), bool)
-            for near, far in ((i, j), (j, i)):
-                order = np.lexsort((ids[far], -like, leads, near))
-                own, kind = near[order], leads[order]
-                first = np.concatenate([[True], (own[1:] != own[:-1]) | (kind[1:] != kind[:-1])])
-                best[order[first & ~kind | first & (near is i)]] = True
-            i, j, like = i[best], j[best], like[best]
+        best = np.zeros(len(i), bool)
+        for near, far in ((i, j), (j, i)):
+            order = np.lexsort((ids[far], -like, leads, near))
+            own, kind = near[order], leads[order]
+            first = np.concatenate([[True], (own[1:] != own[:-1]) | (kind[1:] != kind[:-1])])
+            best[order[first & ~kind | first & (near is i)]] = True
+        i, j, like = i[best], j[best], like[best]
         return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(like.astype(np.float32))], schema=types)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +162,6 @@ def forest(classes: DataFrame, plausible: float, across: bool) -> DataFrame:
                 np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u2").reshape(n, DEPTH),
                 ids,
                 np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(n, SKETCH),
-                batch.column(4).to_numpy() if across else ids,
             )
 
         for batch in batches:
@@ -183,6 +182,81 @@ def forest(classes: DataFrame, plausible: float, across: bool) -> DataFrame:
     return rows.repartitionByRange("tree", "key").sortWithinPartitions("tree", "key", "_id").mapInArrow(run, schema)
 
 
+def in_regions(classes: DataFrame, plausible: float, rows: int) -> DataFrame:
+    """All pairs (a, b, ca, cb, likeness) of classes that agree in `LEAST_DEPTH` minima of a tree, are in different components ca and cb, and
+    are plausible. A pair is there once for each such tree.
+
+    The largest component of a region is dealt into blocks of `BLOCK`, its other classes into blocks of their own. These meet each other
+    and those of the largest component, which do not meet among themselves."""
+    width, depth = 2 * DEPTH, 2 * LEAST_DEPTH
+    regions = classes.select("_id", "component", F.expr(f"explode(transform(sequence(0, {TREES - 1}), t -> xxhash64(t, substring(keys, t * {width} + 1, {depth}))))").alias("region"))
+    mixed_ones = regions.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("region")
+    members = cut(regions.join(mixed_ones, "region", "left_semi"), rows)
+    sizes = members.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("region").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"))
+    sizes = sizes.select("region", F.col("main.component").alias("main"), F.ceil(F.col("main.n") / BLOCK).alias("mains"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).alias("others"))
+    in_main, place = F.col("component") == F.col("main"), F.xxhash64("_id", F.lit(1))
+    dealt = members.join(sizes, "region").withColumn("block", F.when(in_main, F.pmod(place, "mains")).otherwise(F.col("mains") + F.pmod(place, "others")))
+    dealt = dealt.withColumn("meets", F.explode(F.sequence(F.when(in_main, F.col("mains")).otherwise(F.lit(0)), F.expr("mains + others - 1"))))
+    dealt = dealt.select("region", F.least("block", "meets").alias("p"), F.greatest("block", "meets").alias("q"), "block", "_id", "component")
+    full = dealt.join(classes.select("_id", "sketch"), "_id").select("region", "p", "q", "block", "_id", "component", "sketch")
+    schema = "a long, b long, ca long, cb long, likeness float"
+    types = pa_schema(classes.sparkSession, schema)
+
+    def likeness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return ((x[:, None] == y[None]).mean(2) - 1 / 256) * (256 / 255)
+
+    def pairs(block: np.ndarray, ids: np.ndarray, component: np.ndarray, sketch: np.ndarray) -> Iterator[tuple]:
+        """Of one (region, p, q), the rows in order of block."""
+        first = np.flatnonzero(block == block[0])
+        second = np.flatnonzero(block != block[0])
+        alone = not len(second)
+        second = first if alone else second
+        step = max(1, 8192 // len(second))
+        for at in range(0, len(first), step):
+            x = first[at : at + step]
+            like = likeness(sketch[x], sketch[second])
+            fits = (like >= plausible) & (component[x][:, None] != component[second][None])
+            if alone:
+                fits &= x[:, None] < second[None]
+            i, j = np.nonzero(fits)
+            if len(i):
+                like, i, j = like[i, j], x[i], second[j]
+                swap = ids[i] < ids[j]
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                yield ids[i], ids[j], component[i], component[j], like.astype(np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in chain(batches, [None]):
+            if batch is not None and batch.num_rows:
+                held.append(batch)
+            size = sum(b.num_rows for b in held)
+            if not size or batch is not None and size < CHUNK // 10:
+                continue
+            joined = pa.Table.from_batches(held).combine_chunks()
+            region, p, q, block, ids, component = (joined.column(k).to_numpy() for k in range(6))
+            sketch = np.frombuffer(b"".join(joined.column(6).to_pylist()), np.uint8).reshape(size, -1)
+            starts = np.flatnonzero(np.concatenate([[True], (region[1:] != region[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])]))
+            ends = np.concatenate([starts[1:], [size]])
+            last = len(starts) if batch is None else len(starts) - 1  # the last one may go on in the next batch
+            found: list[tuple] = []
+            n_found = 0
+            for start, end in zip(starts[:last], ends[:last], strict=True):
+                if component[start:end].min() == component[start:end].max():
+                    continue
+                for got in pairs(block[start:end], ids[start:end], component[start:end], sketch[start:end]):
+                    found.append(got)
+                    n_found += len(got[0])
+                    if n_found >= CHUNK:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], schema=types)
+                        found, n_found = [], 0
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], schema=types)
+            held = [] if batch is None else joined.slice(starts[-1]).to_batches()
+
+    return full.repartition("region", "p", "q").sortWithinPartitions("region", "p", "q", "block", "_id").mapInArrow(run, schema)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, threshold: tuple[int, int]) -> DataFrame:
     """Those of pairs (a, b) whose full sets are alike enough, with linked true; the others with linked false."""
     left = texts.select(F.col("_id").alias("a"), F.col("text").alias("text_a"))
@@ -267,17 +341,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     classes = cut(signed.where("set_key IS NOT NULL AND _id IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("_id", "keys", "sketch")).alias("s"), F.count(F.lit(1)).alias("n")).select("set_key", "s.*", "n"), n)
     plausible = least_likeness(threshold)
 
-    found = cut(forest(classes, plausible, across=False).groupBy("_id", "other").agg(F.max("likeness").alias("likeness")), n)
+    def check(pairs: DataFrame) -> DataFrame:
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+        texts = only_needed(keyed, cut(needed, n)).groupBy("_id").agg(F.min("text").alias("text"))
+        return cut(confirmed(pairs, cut(texts, n), words, threshold), pairs.count(), 2000)
+
+    found = cut(forest(classes, plausible).groupBy("_id", "other").agg(F.max("likeness").alias("likeness")), n)
     place = F.row_number().over(Window.partitionBy("_id").orderBy(F.desc("likeness"), "other"))  # of 3 * TREES rows at most
     first = cut(found.withColumn("place", place).where("place <= 2").select(*pair("_id", "other")).distinct(), n)
-    needed = cut(found.select(F.explode(F.array("_id", "other")).alias("_id")).distinct(), n)
-    texts = cut(only_needed(keyed, needed).groupBy("_id").agg(F.min("text").alias("text")), n)
-    checked = cut(confirmed(first, texts, words, threshold), first.count(), 2000)
-
-    joined = components(checked.where("linked").select("a", "b"), rounds=3)
-    open_ = cut(classes.select("_id", "keys", "sketch").join(needed, "_id", "left_semi").join(joined, "_id", "left").withColumn("component", F.coalesce("component", "_id")), n)
-    rest = cut(forest(open_, plausible, across=True).select(*pair("_id", "other")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), n)
-    more = cut(confirmed(rest, texts, words, threshold), rest.count(), 2000)
+    checked = check(first)
+
+    joined = components(checked.where("linked").select("a", "b"))
+    open_ = cut(classes.join(joined, "_id", "left").withColumn("component", F.coalesce("component", "_id")), n)
+    rest = in_regions(open_, plausible, n).groupBy("a", "b").agg(F.first("ca").alias("ca"), F.first("cb").alias("cb"), F.max("likeness").alias("likeness"))
+    rest = cut(rest.join(checked.select("a", "b"), ["a", "b"], "left_anti"), n)
+    # the likeliest pair of two components first: where it is a link, their other pairs need no confirmation
+    likeliest = cut(rest.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.max(F.struct("likeness", "a", "b")).alias("s")).select("s.a", "s.b"), n)
+    checked = cut(checked.union(check(likeliest)), n)
+    joined = components(checked.where("linked").select("a", "b"))
+    for own, other in (("a", "ca"), ("b", "cb")):
+        rest = rest.join(joined.select(F.col("_id").alias(own), F.col("component").alias(f"now_{other}")), own, "left")
+    apart = F.coalesce("now_ca", "a") != F.coalesce("now_cb", "b")
+    more = check(cut(rest.where(apart).select("a", "b").join(checked.select("a", "b"), ["a", "b"], "left_anti"), n))
 
     final = cut(components(checked.union(more).where("linked").select("a", "b")), n)
     labelled = cut(classes.select("set_key", "_id").join(final, "_id", "left").select("set_key", F.coalesce("component", "_id").alias("component")), n)

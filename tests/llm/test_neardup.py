@@ -79,6 +79,22 @@ def test_small_reach_is_made_up_for(frame, corpus, monkeypatch):
     assert got == {i: c for i, (_, c) in brute(corpus, 3, (85, 100)).items()}
 
 
+def test_links_in_a_crowded_region(frame, prose, monkeypatch):
+    """Documents on one template are alike just below the threshold; links among them are found however far apart the trees put them."""
+    monkeypatch.setattr(N, "REACH", 1)
+    monkeypatch.setattr(N, "BLOCK", 16, raising=False)
+    template, rows, ids = prose(903, 270), [], random.Random(6).sample(range(1000), 200)  # partners are no neighbours by id
+    for k in range(100):
+        own = prose(4000 + k, 25)
+        rows.append((ids[k], f"{template} {own}"))
+        if k % 4 == 0:
+            rows.append((ids[100 + k], f"{template} {' '.join(own.split()[:4])} {prose(5000 + k, 21)}"))
+    want = {i: c for i, (_, c) in brute(rows, 3, (85, 100)).items()}
+    assert sum(i != c for i, c in want.items()) >= 20
+    got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(frame([(i, t, None, None) for i, t in rows]), 3, (85, 100)).collect()}
+    assert got == want
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(k, k + 1) for k in range(200, 240)] + [(500, k) for k in range(600, 650)] + [tuple(rng.sample(range(1000, 1060), 2)) for _ in range(50)]
