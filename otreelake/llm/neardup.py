@@ -5,10 +5,10 @@
 2. The forest: each tree is all classes in the order of its key, dealt out by range, so that no region is too large for a task.
    Neighbours in that order have the longest common prefixes. Each class looks back at its `REACH` nearest and at the first classes of the
    regions that it is in, as long as `LEAST_DEPTH` minima agree. So depth adapts to the region: in a crowded one the
-   neighbours agree deeply, in a sparse one they are as far as the least depth. A candidate's likeness by sketch must be plausible.
+   neighbours agree deeply, in a sparse one they are as far as the least depth. The sketch only tells which are confirmed first.
 3. First round: for each class the two likeliest candidates are confirmed on full sets, and components formed. It only saves work.
    Second round: of all pairs of classes that share the first `LEAST_DEPTH` minima of a tree and are still in different components, those
-   that are plausible are confirmed, with no bound on their number or on the size of a region: regions are compared in blocks of
+   that `apart` does not prove unlike are confirmed, with no bound on their number or on the size of a region: regions are compared in blocks of
    `BLOCK`. A large group of near copies is one component after the first round and is not compared with itself in the second.
 4. Components by alternating star contractions (large star, small star), each one aggregate and one join.
 
@@ -38,6 +38,8 @@ LEADERS = (3, 5, 8)
 CHUNK = 50_000
 #: Classes of a region that are compared with as many others at once.
 BLOCK = 1024
+#: Bits of a set's parity bitmap.
+PARITY = 2048
 #: Bits of the bitmap of ids.
 BITMAP_BITS = 1 << 22
 _SLOTS = TREES * DEPTH + SKETCH
@@ -82,11 +84,23 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return least
 
 
+def parity(hashes: np.ndarray) -> bytes:
+    """A bitmap that tells for each of `PARITY` buckets of shingles whether their number is odd."""
+    odd = np.bincount((hashes >> np.uint64(32)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def apart(n_x: np.ndarray, n_y: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A lower bound of the number of shingles that are in one set only, for each of x with each of y (sizes and bitmaps as rows of uint64). Each such
+    shingle changes one bit, so bitmaps never differ in more."""
+    return np.maximum(np.bitwise_count(x[:, None] ^ y[None]).sum(2, dtype=np.int64), np.abs(n_x[:, None] - n_y[None]))
+
+
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """_id, n_shingles, set_key, keys and sketch of each row; the last three are null for texts without words."""
+    """_id, n_shingles, set_key, keys, sketch and bits of each row; the last four are null for texts without words."""
 
     def run(cols: dict, known: WordHashes) -> dict:
-        out: dict[str, list] = {"_id": cols["_id"], "n_shingles": [], "set_key": [], "keys": [], "sketch": []}
+        out: dict[str, list] = {"_id": cols["_id"], "n_shingles": [], "set_key": [], "keys": [], "sketch": [], "bits": []}
         for text in cols["text"]:
             h = shingles(text, words, known)
             out["n_shingles"].append(len(h))
@@ -94,13 +108,15 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             out["set_key"].append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
             out["keys"].append((least[: TREES * DEPTH] >> np.uint64(48)).astype(">u2").tobytes() if len(h) else None)
             out["sketch"].append((least[TREES * DEPTH :] >> np.uint64(56)).astype(np.uint8).tobytes() if len(h) else None)
+            out["bits"].append(parity(h) if len(h) else None)
         return out
 
-    return map_batches(docs.select("_id", "text"), run, "_id long, n_shingles long, set_key binary, keys binary, sketch binary", WordHashes)
+    return map_batches(docs.select("_id", "text"), run, "_id long, n_shingles long, set_key binary, keys binary, sketch binary, bits binary", WordHashes)
 
 
 def least_likeness(threshold: tuple[int, int]) -> float:
-    """The sketch likeness that a pair at the threshold falls below with a probability of about 1 in 4,000."""
+    """The sketch likeness of candidates of the first round. A pair at the threshold falls below with a probability of about 1 in 2,000, and is
+    then left to the second round, which does not ask the sketch."""
     t = threshold[0] / threshold[1]
     return t - 3.5 * float(np.sqrt(t * (1 - t) / SKETCH))
 
@@ -182,9 +198,9 @@ def forest(classes: DataFrame, plausible: float) -> DataFrame:
     return rows.repartitionByRange("tree", "key").sortWithinPartitions("tree", "key", "_id").mapInArrow(run, schema)
 
 
-def in_regions(classes: DataFrame, plausible: float, rows: int) -> DataFrame:
+def in_regions(classes: DataFrame, threshold: tuple[int, int], rows: int) -> DataFrame:
     """All pairs (a, b, ca, cb, likeness) of classes that agree in `LEAST_DEPTH` minima of a tree, are in different components ca and cb, and
-    are plausible. A pair is there once for each such tree.
+    may be links: the likeness, an upper bound, reaches the threshold. A pair is there once for each such tree.
 
     The largest component of a region is dealt into blocks of `BLOCK`, its other classes into blocks of their own. These meet each other
     and those of the largest component, which do not meet among themselves."""
@@ -198,14 +214,13 @@ def in_regions(classes: DataFrame, plausible: float, rows: int) -> DataFrame:
     dealt = members.join(sizes, "region").withColumn("block", F.when(in_main, F.pmod(place, "mains")).otherwise(F.col("mains") + F.pmod(place, "others")))
     dealt = dealt.withColumn("meets", F.explode(F.sequence(F.when(in_main, F.col("mains")).otherwise(F.lit(0)), F.expr("mains + others - 1"))))
     dealt = dealt.select("region", F.least("block", "meets").alias("p"), F.greatest("block", "meets").alias("q"), "block", "_id", "component")
-    full = dealt.join(classes.select("_id", "sketch"), "_id").select("region", "p", "q", "block", "_id", "component", "sketch")
+    full = dealt.join(classes.select("_id", "n_shingles", "bits"), "_id").select("region", "p", "q", "block", "_id", "component", "n_shingles", "bits")
     schema = "a long, b long, ca long, cb long, likeness float"
     types = pa_schema(classes.sparkSession, schema)
 
-    def likeness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return ((x[:, None] == y[None]).mean(2) - 1 / 256) * (256 / 255)
+    num, den = threshold
 
-    def pairs(block: np.ndarray, ids: np.ndarray, component: np.ndarray, sketch: np.ndarray) -> Iterator[tuple]:
+    def pairs(block: np.ndarray, ids: np.ndarray, component: np.ndarray, n: np.ndarray, bits: np.ndarray) -> Iterator[tuple]:
         """Of one (region, p, q), the rows in order of block."""
         first = np.flatnonzero(block == block[0])
         second = np.flatnonzero(block != block[0])
@@ -214,13 +229,13 @@ def in_regions(classes: DataFrame, plausible: float, rows: int) -> DataFrame:
         step = max(1, 8192 // len(second))
         for at in range(0, len(first), step):
             x = first[at : at + step]
-            like = likeness(sketch[x], sketch[second])
-            fits = (like >= plausible) & (component[x][:, None] != component[second][None])
+            differ, both = apart(n[x], n[second], bits[x], bits[second]), n[x][:, None] + n[second][None]
+            fits = (differ * (den + num) <= both * (den - num)) & (component[x][:, None] != component[second][None])
             if alone:
                 fits &= x[:, None] < second[None]
             i, j = np.nonzero(fits)
             if len(i):
-                like, i, j = like[i, j], x[i], second[j]
+                like, i, j = ((both - differ) / (both + differ))[i, j], x[i], second[j]
                 swap = ids[i] < ids[j]
                 i, j = np.where(swap, j, i), np.where(swap, i, j)
                 yield ids[i], ids[j], component[i], component[j], like.astype(np.float32)
@@ -234,8 +249,8 @@ def in_regions(classes: DataFrame, plausible: float, rows: int) -> DataFrame:
             if not size or batch is not None and size < CHUNK // 10:
                 continue
             joined = pa.Table.from_batches(held).combine_chunks()
-            region, p, q, block, ids, component = (joined.column(k).to_numpy() for k in range(6))
-            sketch = np.frombuffer(b"".join(joined.column(6).to_pylist()), np.uint8).reshape(size, -1)
+            region, p, q, block, ids, component, n = (joined.column(k).to_numpy() for k in range(7))
+            bits = np.frombuffer(b"".join(joined.column(7).to_pylist()), np.uint64).reshape(size, -1)
             starts = np.flatnonzero(np.concatenate([[True], (region[1:] != region[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])]))
             ends = np.concatenate([starts[1:], [size]])
             last = len(starts) if batch is None else len(starts) - 1  # the last one may go on in the next batch
@@ -244,7 +259,7 @@ def in_regions(classes: DataFrame, plausible: float, rows: int) -> DataFrame:
             for start, end in zip(starts[:last], ends[:last], strict=True):
                 if component[start:end].min() == component[start:end].max():
                     continue
-                for got in pairs(block[start:end], ids[start:end], component[start:end], sketch[start:end]):
+                for got in pairs(block[start:end], ids[start:end], component[start:end], n[start:end], bits[start:end]):
                     found.append(got)
                     n_found += len(got[0])
                     if n_found >= CHUNK:
@@ -338,7 +353,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     keyed = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
     signed = cut(signatures(keyed, words))
     n = signed.count()
-    classes = cut(signed.where("set_key IS NOT NULL AND _id IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("_id", "keys", "sketch")).alias("s"), F.count(F.lit(1)).alias("n")).select("set_key", "s.*", "n"), n)
+    classes = cut(signed.where("set_key IS NOT NULL AND _id IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("_id", "n_shingles", "keys", "sketch", "bits")).alias("s")).select("set_key", "s.*"), n)
     plausible = least_likeness(threshold)
 
     def check(pairs: DataFrame) -> DataFrame:
@@ -353,7 +368,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
 
     joined = components(checked.where("linked").select("a", "b"))
     open_ = cut(classes.join(joined, "_id", "left").withColumn("component", F.coalesce("component", "_id")), n)
-    rest = in_regions(open_, plausible, n).groupBy("a", "b").agg(F.first("ca").alias("ca"), F.first("cb").alias("cb"), F.max("likeness").alias("likeness"))
+    rest = in_regions(open_, threshold, n).groupBy("a", "b").agg(F.first("ca").alias("ca"), F.first("cb").alias("cb"), F.max("likeness").alias("likeness"))
     rest = cut(rest.join(checked.select("a", "b"), ["a", "b"], "left_anti"), n)
     # the likeliest pair of two components first: where it is a link, their other pairs need no confirmation
     likeliest = cut(rest.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.max(F.struct("likeness", "a", "b")).alias("s")).select("s.a", "s.b"), n)
@@ -361,8 +376,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     joined = components(checked.where("linked").select("a", "b"))
     for own, other in (("a", "ca"), ("b", "cb")):
         rest = rest.join(joined.select(F.col("_id").alias(own), F.col("component").alias(f"now_{other}")), own, "left")
-    apart = F.coalesce("now_ca", "a") != F.coalesce("now_cb", "b")
-    more = check(cut(rest.where(apart).select("a", "b").join(checked.select("a", "b"), ["a", "b"], "left_anti"), n))
+    still = F.coalesce("now_ca", "a") != F.coalesce("now_cb", "b")
+    more = check(cut(rest.where(still).select("a", "b").join(checked.select("a", "b"), ["a", "b"], "left_anti"), n))
 
     final = cut(components(checked.union(more).where("linked").select("a", "b")), n)
     labelled = cut(classes.select("set_key", "_id").join(final, "_id", "left").select("set_key", F.coalesce("component", "_id").alias("component")), n)
