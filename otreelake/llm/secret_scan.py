@@ -6,7 +6,7 @@ number of runs about the middle of the alphabet, and lag-1 serial correlation. A
 `REJECT`, shared among the three) is no secret.
 
 What is left has to be a discovery against ordinary text: its p-value is the inverse likelihood ratio of the uniform encoding against
-letter frequencies of prose, a bound by Markov's inequality that shrinks with every further symbol. A weighted Benjamini-Hochberg step
+one model of ordinary strings (letters of prose in either case, digits and separators, each in runs), a bound by Markov's inequality that shrinks with every further symbol. A weighted Benjamini-Hochberg step
 over the candidates of a text, with weights in proportion to length, keeps the share of false discoveries below `FDR`.
 """
 
@@ -49,16 +49,24 @@ ENCODINGS = {
 PROSE_ORDER = "etaoinshrdlucmfwygpbvkqjxz"
 
 
-@cache
-def prose(alphabet: str) -> dict[str, float]:
-    """Frequencies that prose has in an alphabet: letters by place, capitals a twentieth of theirs, other symbols rare."""
+#: Classes of symbols in ordinary strings, and how often one follows another: letters of one case, digits and separators come in runs.
+CLASSES = {"lower": _LOWER, "upper": _LOWER.upper(), "digit": _DIGITS, "separator": "+/-_"}
+FOLLOWS = {
+    "lower": {"lower": 0.86, "upper": 0.03, "digit": 0.04, "separator": 0.07},
+    "upper": {"lower": 0.12, "upper": 0.80, "digit": 0.04, "separator": 0.04},
+    "digit": {"lower": 0.03, "upper": 0.03, "digit": 0.85, "separator": 0.09},
+    "separator": {"lower": 0.50, "upper": 0.20, "digit": 0.25, "separator": 0.05},
+}
+_CLASS = {c: name for name, chars in CLASSES.items() for c in chars}
 
-    def weight(c: str) -> float:
-        at = PROSE_ORDER.find(c.lower())
-        return 0.004 if at < 0 else (1.0 if c.islower() else 0.05) / (at + 3)
 
-    total = sum(map(weight, alphabet))
-    return {c: weight(c) / total for c in alphabet}
+@cache
+def ordinary() -> tuple[dict[str, float], dict[tuple[str, str], float]]:
+    """Logarithms of a symbol's frequency in its class, letters by place, and of the transitions between classes. One model for all encodings."""
+    place = {c: 1 / (i + 3) for i, c in enumerate(PROSE_ORDER)}
+    total = sum(place.values())
+    own = {c: math.log(place[c.lower()] / total if c.isalpha() else 1 / len(CLASSES[name])) for c, name in _CLASS.items()}
+    return own, {(a, b): math.log(f) for a, to in FOLLOWS.items() for b, f in to.items()}
 
 
 def encoding_of(string: str) -> str:
@@ -107,8 +115,12 @@ def battery(string: str, alphabet: str) -> tuple[float, float, float]:
 
 
 def p_against_prose(string: str, alphabet: str) -> float:
-    own = prose(alphabet)
-    ratio = sum(math.log(1 / len(alphabet) / own[c]) for c in string if c in own)
+    symbols = string.rstrip("=")
+    if symbols.isdigit():
+        return 1.0  # a number
+    own, follows = ordinary()
+    kinds = [_CLASS[c] for c in symbols]
+    ratio = -len(symbols) * math.log(len(alphabet)) - sum(map(own.__getitem__, symbols)) - sum(map(follows.__getitem__, zip(kinds, kinds[1:]))) + math.log(len(CLASSES))
     return math.exp(-min(ratio, 700.0)) if ratio > 0 else 1.0
 
 

@@ -38,6 +38,14 @@ def test_battery_tells_random_from_prose():
     assert not any(S.random_spans(f"x {c} y") for c in clean)
 
 
+def test_random_strings_of_each_encoding_are_found():
+    rng = random.Random(9)
+    for name in ("hex", "HEX", "base32", "base36", "BASE36", "base62", "base64", "base64url"):
+        for length, least in ((20, 80), (32, 90), (40, 95)):
+            keys = ["".join(rng.choices(S.ENCODINGS[name], k=length)) for _ in range(100)]
+            assert sum(bool(S.random_spans(f"value {k} end")) for k in keys) >= least, (name, length)
+
+
 def test_discoveries_get_harder_with_candidates():
     """The step-up is over all candidates of the text."""
     key = "q7Zp2Xv9Lk4Rt8Wm3Bn6"
