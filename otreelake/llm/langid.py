@@ -1,32 +1,35 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 The network reads UTF-8 bytes of the lower-cased text in windows of 64, one pass from the left and one from the right, labels every position
-from both states, and a document's probabilities are the mean over all of its positions. Training is backpropagation through
-time, in numpy on the driver, over a bounded sample of windows; the windows of a sampled document are spread over its whole text.
-Prediction reads every byte of every text, many windows at once.
+from both states, and a document's probabilities are the mean over all of its positions. States begin anew with each window, so a position
+sees its own window only. Training is backpropagation through time, in numpy on the driver, over a bounded sample of windows; the windows of
+a sampled document are spread over its whole text. Prediction reads every byte of every text, many windows at once.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import cut, map_batches
 
 WINDOW, HIDDEN = 64, 16
-#: Documents of a language, and windows of a document, that training reads at most; languages it can learn at most (the most frequent).
-SAMPLE_DOCS, SAMPLE_WINDOWS, LANGUAGES = 400, 8, 256
+#: What training reads at most: documents of a language, windows of a document, documents of all languages together (with so many languages that
+#: this binds, each gives fewer documents, one at least as long as there are no more languages than that).
+SAMPLE_DOCS, SAMPLE_WINDOWS, SAMPLE_TOTAL = 400, 8, 100_000
 STEPS, BATCH, RATE = 500, 256, 0.01
-#: Windows predicted at once.
-BLOCK = 2048
+#: Bytes of a table of languages that is broadcast; a larger one is joined by shuffle.
+SMALL = 8 << 20
+#: Windows predicted at once. Their arrays stay in a core's cache, and their products are too small for BLAS to start threads that wait for each other.
+BLOCK = 512
 #: What a text without letters, or no text, is.
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def windows_of(data: bytes) -> np.ndarray:
@@ -42,111 +45,163 @@ def clean(text: str | None) -> bytes:
 
 @dataclass(frozen=True)
 class Network:
-    """For each direction: inputs (256, 3H: a byte's share in update gate, reset gate and candidate), recurrent (H, 3H); then out (2H, L) and bias."""
+    """For each direction: inputs (3, 256, H: what a byte adds to update gate, reset gate and candidate) and recurrent (3, H, H); then out (2, H, L) and bias."""
 
     languages: tuple[str, ...]
-    inputs: tuple[np.ndarray, np.ndarray]
-    recurrent: tuple[np.ndarray, np.ndarray]
+    inputs: np.ndarray
+    recurrent: np.ndarray
     out: np.ndarray
     bias: np.ndarray
 
 
-def gates(x: np.ndarray, h: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Update gate, reset gate, the candidate's recurrent part before the reset, and the candidate."""
-    n = h.shape[1]
-    r = h @ u
-    zr = 0.5 * np.tanh(0.5 * (x[:, : 2 * n] + r[:, : 2 * n])) + 0.5
-    c = np.tanh(x[:, 2 * n :] + zr[:, n:] * r[:, 2 * n :])
-    return zr[:, :n], zr[:, n:], r[:, 2 * n :], c
+def sigmoid(x: np.ndarray) -> None:
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
 
 
-def states(windows: np.ndarray, inputs: np.ndarray, recurrent: np.ndarray, order: range) -> np.ndarray:
-    """The state at every position, (WINDOW, n, H); order runs from the left or from the right."""
-    h = np.zeros((len(windows), recurrent.shape[0]), np.float32)
-    out = np.empty((WINDOW, *h.shape), np.float32)
-    for t in order:
-        z, _, _, c = gates(inputs.take(windows[:, t], 0), h, recurrent)
-        h = h + z * (c - h)
-        out[t] = h
-    return out
+def step(at: np.ndarray, h: np.ndarray, inputs: np.ndarray, recurrent: np.ndarray, z: np.ndarray, r: np.ndarray, rec: np.ndarray, c: np.ndarray, into: np.ndarray) -> None:
+    """From states h over the bytes at to the states into; update gate z, reset gate r, rec (the candidate's recurrent part before the reset) and candidate c are filled in."""
+    for k, gate in ((0, z), (1, r)):
+        np.matmul(h, recurrent[k], out=gate)
+        gate += inputs[k].take(at, 0)
+        sigmoid(gate)
+    np.matmul(h, recurrent[2], out=rec)
+    np.multiply(rec, r, out=c)
+    c += inputs[2].take(at, 0)
+    np.tanh(c, out=c)
+    np.subtract(c, h, out=into)
+    into *= z
+    into += h
+
+
+#: The order in which the two directions read a window.
+ORDERS = (range(WINDOW), range(WINDOW - 1, -1, -1))
 
 
 def softmax(logits: np.ndarray) -> np.ndarray:
-    e = np.exp(logits - logits.max(-1, keepdims=True))
-    return e / e.sum(-1, keepdims=True)
+    """Over the first axis, in place."""
+    logits -= logits.max(0)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(0)
+    return logits
 
 
 def position_probabilities(net: Network, windows: np.ndarray) -> np.ndarray:
-    """(n, WINDOW, L)"""
-    left = states(windows, net.inputs[0], net.recurrent[0], range(WINDOW))
-    right = states(windows, net.inputs[1], net.recurrent[1], range(WINDOW - 1, -1, -1))
-    h = net.recurrent[0].shape[0]
-    return softmax(left @ net.out[:h] + right @ net.out[h:] + net.bias).transpose(1, 0, 2)
+    """(L, WINDOW, n): every position's probabilities of the languages."""
+    n, hidden = len(windows), net.recurrent.shape[-1]
+    columns = np.ascontiguousarray(windows.T).astype(np.intp)
+    logits = np.empty((WINDOW, len(net.languages), n), net.out.dtype)
+    logits[:] = net.bias[:, None]
+    z, r, rec, c, *turns = np.empty((6, n, hidden), net.recurrent.dtype)
+    for d, order in enumerate(ORDERS):
+        h = np.zeros((n, hidden), net.recurrent.dtype)
+        for k, t in enumerate(order):
+            step(columns[t], h, net.inputs[d], net.recurrent[d], z, r, rec, c, turns[k % 2])
+            h = turns[k % 2]
+            logits[t] += net.out[d].T @ h.T
+    return softmax(np.ascontiguousarray(logits.transpose(1, 0, 2)))
 
 
 def document_probabilities(net: Network, texts: list[str | None]) -> list[np.ndarray | None]:
     """Mean probabilities of each text's positions; None where nothing can be read. A text's windows may lie in several blocks."""
-    data = [clean(t) for t in texts]
-    counts = [-(-len(d) // WINDOW) for d in data]
-    owner = np.repeat(np.arange(len(data)), counts)
-    totals = np.zeros((len(data), len(net.languages)))
-    if len(owner):
-        rows = np.concatenate([windows_of(d) for d in data if d])
-        for at in range(0, len(rows), BLOCK):
-            block = rows[at : at + BLOCK]
-            p = position_probabilities(net, block) * (block != 0)[:, :, None]
-            np.add.at(totals, owner[at : at + BLOCK], p.sum(1))
-    return [t / t.sum() if d and t.sum() > 0 else None for d, t in zip(data, totals, strict=True)]
+    totals = np.zeros((len(texts), len(net.languages)))
+    lengths = np.zeros(len(texts), np.int64)
+    held: list[np.ndarray] = []
+    owners: list[np.ndarray] = []
+    size = 0
+    block = max(16, min(BLOCK, (1 << 22) // (WINDOW * len(net.languages))))
+
+    def read(rows: np.ndarray, owner: np.ndarray) -> None:
+        p = position_probabilities(net, rows)
+        p *= rows.T != 0
+        np.add.at(totals, owner, p.sum(1).T)
+
+    for i, text in enumerate(texts):
+        data = clean(text)
+        lengths[i] = len(data)
+        if data:
+            held.append(windows_of(data))
+            owners.append(np.full(len(held[-1]), i))
+            size += len(held[-1])
+        if size >= block or size and i == len(texts) - 1:
+            rows, owner = np.concatenate(held), np.concatenate(owners)
+            whole = size if i == len(texts) - 1 else size - size % block
+            for at in range(0, whole, block):
+                read(rows[at : min(at + block, whole)], owner[at : min(at + block, whole)])
+            held, owners, size = ([rows[whole:]], [owner[whole:]], size - whole) if whole < size else ([], [], 0)
+    if size:
+        read(np.concatenate(held), np.concatenate(owners))
+    sums = totals.sum(1)
+    return [totals[i] / sums[i] if lengths[i] and sums[i] > 0 else None for i in range(len(texts))]
+
+
+def loss_and_gradients(p: dict[str, np.ndarray], windows: np.ndarray, labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean cross-entropy of all positions that are no filling bytes, and its derivatives by backpropagation through time.
+
+    p: inputs (2, 3, 256, H), recurrent (2, 3, H, H), out (2, H, L), bias (L)."""
+    kind, n, hidden = p["inputs"].dtype, len(windows), p["recurrent"].shape[-1]
+    columns = np.ascontiguousarray(windows.T).astype(np.intp)
+    kept = np.empty((2, 4, WINDOW, n, hidden), kind)  # z, r, rec, c
+    states = np.zeros((2, WINDOW + 1, n, hidden), kind)  # the last is where either direction begins
+    for d, order in enumerate(ORDERS):
+        before = WINDOW
+        for t in order:
+            step(columns[t], states[d, before], p["inputs"][d], p["recurrent"][d], *kept[d, :, t], states[d, t])
+            before = t
+    logits = np.stack([sum(p["out"][d].T @ states[d, t].T for d in (0, 1)) for t in range(WINDOW)], 1) + p["bias"][:, None, None]
+    q = softmax(logits)
+    real = (columns != 0).astype(kind)
+    real /= max(1.0, real.sum())
+    own = np.arange(n)
+    loss = -float((np.log(np.maximum(q[labels, :, own].T, 1e-30)) * real).sum())
+    q[labels, :, own] -= 1
+    q *= real
+    g = {k: np.zeros_like(v) for k, v in p.items()}
+    g["bias"] = q.sum((1, 2))
+    order_of_bytes = np.argsort(columns, axis=None, kind="stable")
+    in_order = columns.ravel()[order_of_bytes]
+    starts = np.flatnonzero(np.concatenate([[True], in_order[1:] != in_order[:-1]]))
+    for d, order in enumerate(ORDERS):
+        gates = np.empty((3, WINDOW, n, hidden), kind)
+        back = np.zeros((n, hidden), kind)
+        u = p["recurrent"][d]
+        for k in range(WINDOW - 1, -1, -1):
+            t = order[k]
+            state, (z, r, rec, c) = states[d, order[k - 1] if k else WINDOW], kept[d, :, t]
+            g["out"][d] += states[d, t].T @ q[:, t].T
+            back += (p["out"][d] @ q[:, t]).T
+            gates[0, t] = back * (c - state) * z * (1 - z)
+            gates[2, t] = gc = back * z * (1 - c * c)
+            gates[1, t] = gc * rec * r * (1 - r)
+            grec = (gates[0, t], gates[1, t], gc * r)
+            back *= 1 - z
+            for j in range(3):
+                g["recurrent"][d, j] += state.T @ grec[j]
+                back += grec[j] @ u[j].T
+        for j in range(3):
+            g["inputs"][d, j][in_order[starts]] = np.add.reduceat(gates[j].reshape(-1, hidden)[order_of_bytes], starts)
+    return loss, g
 
 
 def train(windows: np.ndarray, labels: np.ndarray, languages: tuple[str, ...], seed: int = 5) -> Network:
-    """Adam on the mean cross-entropy of all positions; dropped gradients are those of filling bytes."""
+    """Adam, with gradients clipped to a norm of 1 and a rate that falls over the last two thirds."""
     rng = np.random.default_rng(seed)
     h, n_lang = HIDDEN, len(languages)
-    p = {f"x{d}": rng.normal(0, 0.3, (256, 3 * h)) for d in (0, 1)} | {f"u{d}": rng.normal(0, h**-0.5, (h, 3 * h)) for d in (0, 1)} | {"w": rng.normal(0, (2 * h) ** -0.5, (2 * h, n_lang)), "b": np.zeros(n_lang)}
+    p = {"inputs": rng.normal(0, 0.3, (2, 3, 256, h)), "recurrent": rng.normal(0, h**-0.5, (2, 3, h, h)), "out": rng.normal(0, (2 * h) ** -0.5, (2, h, n_lang)), "bias": np.zeros(n_lang)}
     p = {k: v.astype(np.float32) for k, v in p.items()}
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    for step in range(1, STEPS + 1):
+    for k in range(1, STEPS + 1):
         pick = rng.integers(0, len(windows), min(BATCH, len(windows)))
-        x, y = windows[pick], labels[pick]
-        runs = []
-        for d, order in ((0, range(WINDOW)), (1, range(WINDOW - 1, -1, -1))):
-            state, trace, hs = np.zeros((len(x), h), np.float32), {}, np.empty((WINDOW, len(x), h), np.float32)
-            for t in order:
-                z, r, rec, c = gates(p[f"x{d}"].take(x[:, t], 0), state, p[f"u{d}"])
-                trace[t] = (state, z, r, rec, c)
-                state = state + z * (c - state)
-                hs[t] = state
-            runs.append((order, trace, hs))
-        both = np.concatenate([runs[0][2], runs[1][2]], 2)
-        q = softmax(both @ p["w"] + p["b"])
-        real = (x != 0).T[:, :, None].astype(np.float32)
-        q[:, np.arange(len(x)), y] -= 1
-        q *= real / max(1.0, real.sum())
-        g = {"w": np.tensordot(both, q, ((0, 1), (0, 1))), "b": q.sum((0, 1))}
-        into = q @ p["w"].T
-        for d, (order, trace, _) in enumerate(runs):
-            u, gx, gu = p[f"u{d}"], np.zeros_like(p[f"x{d}"]), np.zeros_like(p[f"u{d}"])
-            back = np.zeros((len(x), h), np.float32)
-            for t in reversed(order):
-                state, z, r, rec, c = trace[t]
-                back = back + into[t, :, d * h : (d + 1) * h]
-                gz = back * (c - state) * z * (1 - z)
-                gc = back * z * (1 - c * c)
-                gr = gc * rec * r * (1 - r)
-                gin = np.concatenate([gz, gr, gc], 1)
-                grec = np.concatenate([gz, gr, gc * r], 1)
-                np.add.at(gx, x[:, t], gin)
-                gu += state.T @ grec
-                back = back * (1 - z) + grec @ u.T
-            g |= {f"x{d}": gx, f"u{d}": gu}
+        _, g = loss_and_gradients(p, windows[pick], labels[pick])
         norm = float(np.sqrt(sum(float((a * a).sum()) for a in g.values())))
-        for k in p:
-            a = g[k] * min(1.0, 1.0 / max(norm, 1e-12))
-            m[k] = 0.9 * m[k] + 0.1 * a
-            v[k] = 0.999 * v[k] + 0.001 * a * a
-            p[k] = (p[k] - RATE * min(1.0, 3 * (1 - step / (STEPS + 1))) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    return Network(languages, (p["x0"], p["x1"]), (p["u0"], p["u1"]), p["w"], p["b"])
+        for name in p:
+            a = g[name] * min(1.0, 1.0 / max(norm, 1e-12))
+            m[name] = 0.9 * m[name] + 0.1 * a
+            v[name] = 0.999 * v[name] + 0.001 * a * a
+            p[name] = (p[name] - RATE * min(1.0, 3 * (1 - k / (STEPS + 1))) * (m[name] / (1 - 0.9**k)) / (np.sqrt(v[name] / (1 - 0.999**k)) + 1e-8)).astype(np.float32)
+    return Network(languages, **p)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -155,16 +210,23 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def fit_on(docs: DataFrame) -> Network | None:
-    """The network of a bounded sample of documents that are not held out and have a language; None where there are none."""
+    """The network of a bounded sample of documents that are not held out and have a language; None where there are none. Rows of one doc_id and language count once, by
+    the text whose sample is least."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
+    counts = cut(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")))
+    n_lang, letters = counts.agg(F.count(F.lit(1)), F.sum(F.octet_length("lang"))).first()
+    if not n_lang:
         return None
+    if 16 * n_lang + letters <= SMALL:
+        counts = F.broadcast(counts)
+    each = max(1, min(SAMPLE_DOCS, SAMPLE_TOTAL // n_lang))
     # About three times as many as are wanted of each language, by hash; only those are ranked.
-    share = F.element_at(F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, 3.0 * SAMPLE_DOCS / n))), F.col("lang"))
-    few = usable.select("doc_id", "lang").where((F.xxhash64("doc_id").bitwiseAND(0xFFFFFF) / float(1 << 24)) < share)
+    share = 3.0 * each / F.col("rows")
+    few = usable.select("doc_id", "lang").join(counts, "lang").where((F.xxhash64("doc_id").bitwiseAND(0xFFFFFF) / float(1 << 24)) < share).select("doc_id", "lang").distinct()
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = few.withColumn("place", place).where(F.col("place") <= SAMPLE_DOCS).select(F.col("doc_id").alias("_of"), F.col("lang").alias("_lang"))
+    ids = few.withColumn("place", place).where(F.col("place") <= each).select(F.col("doc_id").alias("_of"), F.col("lang").alias("_lang"))
+    ids = cut(ids.orderBy(F.xxhash64("_of")).limit(SAMPLE_TOTAL)) if n_lang > SAMPLE_TOTAL else cut(ids)
+    # SAMPLE_TOTAL rows at most, so the broadcast is bounded
     picked = usable.join(F.broadcast(ids), (F.col("doc_id") == F.col("_of")) & (F.col("lang") == F.col("_lang"))).select("doc_id", "lang", "text")
 
     def sample(cols: dict) -> dict:
@@ -175,8 +237,8 @@ def fit_on(docs: DataFrame) -> Network | None:
             found.append(b"".join(rows[k].tobytes() for k in at))
         return {"doc_id": cols["doc_id"], "lang": cols["lang"], "data": found}
 
-    rows = map_batches(picked, sample, f"doc_id {dict(docs.dtypes)['doc_id']}, lang string, data binary").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("data", "ascending")]).to_pylist()
-    rows = [r for r in rows if r["data"]]
+    sampled = map_batches(picked, sample, f"doc_id {dict(docs.dtypes)['doc_id']}, lang string, data binary").where("length(data) > 0").groupBy("doc_id", "lang").agg(F.min("data").alias("data"))
+    rows = sampled.toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")]).to_pylist()
     if not rows:
         return None
     languages = tuple(sorted({r["lang"] for r in rows}))
