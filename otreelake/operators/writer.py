@@ -39,22 +39,30 @@ def plain(value: object) -> object:
     if isinstance(value, dt.datetime | dt.date):
         return value.isoformat()
     if isinstance(value, decimal.Decimal):
-        return float(value)
+        return str(value)
     return None if isinstance(value, float) and not math.isfinite(value) else value
 
 
+def moment(micros: int) -> dt.datetime | None:
+    """A time in UTC; None beyond Python's years."""
+    try:
+        return dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(microseconds=micros)
+    except OverflowError:
+        return None
+
+
 def stats_columns(schema: T.StructType) -> list[T.StructField]:
     return [f for f in schema.fields[:STATS_COLUMNS] if isinstance(f.dataType, _COMPARABLE)]
 
 
 def aggregates(fields: list[T.StructField]) -> list:
-    """Least and greatest value and number of nulls of every column; no bounds for columns with NaN, decimals and timestamps, whose JSON forms would not be exact."""
+    """Least and greatest value and number of nulls of every column; no bounds for columns with NaN. Those of timestamps are microseconds."""
     out = []
     for i, f in enumerate(fields):
         c = F.col(f"`{f.name}`")
         odd = F.sum(F.isnan(c).cast("int")) if isinstance(f.dataType, T.FloatType | T.DoubleType) else F.lit(0)
-        exact = not isinstance(f.dataType, T.DecimalType | T.TimestampType)
-        out += [F.when((odd == 0) & F.lit(exact), F.min(c)).alias(f"min{i}"), F.when((odd == 0) & F.lit(exact), F.max(c)).alias(f"max{i}"), F.sum(F.col(f"`{f.name}`").isNull().cast("bigint")).alias(f"nulls{i}")]
+        x = F.unix_micros(c) if isinstance(f.dataType, T.TimestampType) else c
+        out += [F.when(odd == 0, F.min(x)).alias(f"min{i}"), F.when(odd == 0, F.max(x)).alias(f"max{i}"), F.sum(c.isNull().cast("bigint")).alias(f"nulls{i}")]
     return out
 
 
@@ -66,8 +74,11 @@ def collected(rows: list[dict], fields: list[T.StructField]) -> dict:
         for name, pick in (("min", min), ("max", max)):
             if all(r[f"{name}{i}"] is not None or r[f"nulls{i}"] == r["n"] for r in rows):
                 known = [r[f"{name}{i}"] for r in rows if r[f"{name}{i}"] is not None]
-                if known:
-                    stats[f"{name}Values"][f.name] = plain(pick(known))
+                found = pick(known) if known else None
+                if isinstance(f.dataType, T.TimestampType) and found is not None:
+                    found = moment(found)
+                if (stored := plain(found)) is not None:
+                    stats[f"{name}Values"][f.name] = stored
     return stats
 
 

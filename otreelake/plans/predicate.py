@@ -1,19 +1,14 @@
-"""A small reader of SQL predicates for pruning.
+"""Predicates as pruning knows them: AND, OR, comparisons of a column with a value, IN and IS [NOT] NULL.
 
-It knows AND, OR, NOT, comparisons of a column with a literal (in either order), IN, BETWEEN, IS [NOT] NULL and LIKE 'prefix%'; any
-other atom is opaque, which prunes nothing. Spark evaluates the predicate itself again on the rows, so a reader that does not
-understand something only reads more.
+They are read from Catalyst's own expressions (plans/catalyst.py), so quoting, escapes, comments and casts are Spark's. What is not understood is
+opaque, which prunes nothing: Spark evaluates the predicate itself again on the rows.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-_TOKEN = re.compile(r"""\s*(?:(?P<string>'(?:[^']|'')*')|(?P<number>\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+)|(?P<op><=>|<=|>=|<>|!=|==|[=<>(),+\-*/%.])|(?P<name>`[^`]+`|[A-Za-z_][A-Za-z_0-9]*)|(?P<other>\S))""")
-
 
 @dataclass(frozen=True)
 class Compare:
@@ -41,16 +36,20 @@ class Opaque:
 
 @dataclass(frozen=True)
 class And:
+    """Without parts: always true."""
+
     parts: tuple
 
 
 @dataclass(frozen=True)
 class Or:
+    """Without parts: never true."""
+
     parts: tuple
 
 
 Predicate = Compare | IsIn | IsNull | Opaque | And | Or
-_FLIP = {"<": ">", "<=": ">=", ">": "<", ">=": "<=", "=": "="}
+FLIP = {"<": ">", "<=": ">=", ">": "<", ">=": "<=", "=": "="}
 _NOT = {"<": ">=", "<=": ">", ">": "<=", ">=": "<"}
 
 
@@ -67,151 +66,6 @@ def negate(p: Predicate) -> Predicate:
     return Opaque()
 
 
-class _Reader:
-    def __init__(self, text: str) -> None:
-        self.tokens: list[tuple[str, str]] = []
-        at = 0
-        text = text.rstrip()
-        while at < len(text):
-            match = _TOKEN.match(text, at)
-            self.tokens.append((match.lastgroup, match[match.lastgroup]))
-            at = match.end()
-        self.at = 0
-
-    def peek(self, ahead: int = 0) -> str:
-        at = self.at + ahead
-        return self.tokens[at][1].upper() if at < len(self.tokens) and self.tokens[at][0] in ("name", "op") else ""
-
-    def take(self, *words: str) -> bool:
-        if all(self.peek(k) == w for k, w in enumerate(words)):
-            self.at += len(words)
-            return True
-        return False
-
-    def either(self) -> Predicate:
-        parts = [self.both()]
-        while self.take("OR"):
-            parts.append(self.both())
-        return parts[0] if len(parts) == 1 else Or(tuple(parts))
-
-    def both(self) -> Predicate:
-        parts = [self.negation()]
-        while self.take("AND"):
-            parts.append(self.negation())
-        return parts[0] if len(parts) == 1 else And(tuple(parts))
-
-    def negation(self) -> Predicate:
-        if self.take("NOT"):
-            return negate(self.negation())
-        start = self.at
-        found = self.atom()
-        if found is None or self.at < len(self.tokens) and self.peek() not in ("AND", "OR", ")"):
-            self.at = start
-            self.skip()
-            return Opaque()
-        return found
-
-    def skip(self) -> None:
-        """Past an atom that is not understood: up to AND, OR or the closing bracket that it lies in. A BETWEEN's AND is its own."""
-        depth = between = 0
-        while self.at < len(self.tokens):
-            word = self.peek()
-            if depth == 0 and (word in ("OR", ")") or word == "AND" and not between):
-                return
-            between += (depth == 0) * ((word == "BETWEEN") - (word == "AND"))
-            depth += (word in ("(", "CASE")) - (word in (")", "END"))
-            self.at += 1
-
-    def atom(self) -> Predicate | None:
-        if self.take("("):
-            inner = self.either()
-            return inner if self.take(")") else None
-        start = self.at
-        value = self.literal()
-        if value is not None:
-            op = self.comparison()
-            column = self.column() if op else None
-            return Compare(column, _FLIP[op], value[0]) if column and op in _FLIP else Opaque() if column else None
-        self.at = start
-        column = self.column()
-        if column is None:
-            return None
-        if self.take("IS", "NOT", "NULL"):
-            return IsNull(column, True)
-        if self.take("IS", "NULL"):
-            return IsNull(column)
-        negated = self.take("NOT")
-        if self.take("IN", "("):
-            values = []
-            while (v := self.literal()) is not None:
-                values.append(v[0])
-                if not self.take(","):
-                    break
-            return None if not values or not self.take(")") else Opaque() if negated else IsIn(column, tuple(values))
-        if self.take("BETWEEN"):
-            low = self.literal()
-            high = self.literal() if low is not None and self.take("AND") else None
-            if high is None:
-                return None
-            found = And((Compare(column, ">=", low[0]), Compare(column, "<=", high[0])))
-            return negate(found) if negated else found
-        if self.take("LIKE"):
-            value = self.literal()
-            prefix = re.match(r"[^%_\\]*", value[0])[0] if value is not None and isinstance(value[0], str) else ""
-            return Opaque() if negated or not prefix else Compare(column, ">=", prefix)
-        if negated:
-            return None
-        op = self.comparison()
-        value = self.literal() if op else None
-        return None if value is None else Compare(column, op, value[0]) if op in _FLIP else Opaque()
-
-    def comparison(self) -> str | None:
-        op = self.peek()
-        if op in ("=", "==", "<=>", "<", "<=", ">", ">=", "<>", "!="):
-            self.at += 1
-            return "=" if op in ("==", "<=>") else op
-        return None
-
-    def column(self) -> str | None:
-        if self.at < len(self.tokens) and self.tokens[self.at][0] == "name" and self.peek(1) not in ("(", "."):
-            self.at += 1
-            return self.tokens[self.at - 1][1].strip("`")
-        return None
-
-    def literal(self) -> tuple | None:
-        """A one-tuple, so that values of every kind are told from none."""
-        if self.at >= len(self.tokens):
-            return None
-        sign = -1 if self.take("-") else 1
-        kind, text = self.tokens[self.at] if self.at < len(self.tokens) else ("", "")
-        word = text.upper()
-        if kind == "number":
-            self.at += 1
-            return (sign * (float(text) if re.search(r"[.eE]", text) else int(text)),)
-        if sign < 0:
-            return None
-        if kind == "string":
-            self.at += 1
-            return (text[1:-1].replace("''", "'"),)
-        if kind == "name" and word in ("DATE", "TIMESTAMP", "TIMESTAMP_NTZ") and self.at + 1 < len(self.tokens) and self.tokens[self.at + 1][0] == "string":
-            raw = self.tokens[self.at + 1][1][1:-1]
-            try:
-                value = dt.date.fromisoformat(raw) if word == "DATE" else dt.datetime.fromisoformat(raw.replace("Z", "+00:00"))
-            except ValueError:
-                return None
-            self.at += 2
-            return (value,)
-        return None
-
-
-def parse(text: str | None) -> Predicate:
-    if not text:
-        return Opaque()
-    reader = _Reader(text)
-    found = reader.either()
-    return found if reader.at == len(reader.tokens) else Opaque()
-
-
 def conjuncts(p: Predicate) -> Iterator[Predicate]:
     for part in p.parts if isinstance(p, And) else (p,):
         if isinstance(part, And):
