@@ -7,19 +7,17 @@ from __future__ import annotations
 
 import json
 import re
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .errors import AnalysisError
 from .operators.writer import nullable
+from .plans import statements as st
 from .sources.log import Store
 from .table import OTreeTable, read_compatible
 
 _NAME = re.compile(r"[A-Za-z_][A-Za-z_0-9]*")
-_SAMPLED = re.compile(r"(?P<name>`[^`]+`(?:\.`[^`]+`)?|[A-Za-z_][\w.]*(?:\.`[^`]+`)?)\s+TABLESAMPLE\s*\(\s*(?P<percent>[\d.]+)\s+PERCENT\s*\)", re.I)
-_PATH = re.compile(r"\botree\.`(?P<path>[^`]+)`", re.I)
 
 
 class Catalog:
@@ -129,25 +127,17 @@ class Catalog:
         self.table(name).insert(df, by_name, overwrite=True)
 
     def sql(self, text: str) -> DataFrame:
-        """A SELECT over the catalog's tables and otree.`path`, each a view of its scan. `t TABLESAMPLE (p PERCENT)` reads the sample's files only."""
-        views: dict[tuple[str, float | None], str] = {}
-
-        def view(name: str, fraction: float | None) -> str:
-            key = name, fraction
-            if key not in views:
-                table = self.table(name)
-                views[key] = f"otree_{uuid.uuid4().hex}"
-                table.scan(sample=fraction).createOrReplaceTempView(views[key])
-            return views[key]
-
-        def sampled(match: re.Match) -> str:
-            name = match["name"]
-            path = _PATH.fullmatch(name)
-            name = path["path"] if path else name.strip("`")
-            return match[0] if not path and not self.exists(name) else view(name, float(match["percent"]) / 100)
-
-        text = _SAMPLED.sub(sampled, text)
-        text = _PATH.sub(lambda m: view(m["path"], None), text)
-        for name in self.tables():
-            text = re.sub(rf"((?:\bFROM|\bJOIN|,)\s+)`?{name}`?\b(?!\s*[.(])", lambda m, n=name: f"{m[1]}{view(n, None)} AS {n}" if not re.match(r"\s+(?:AS\s+)?(?!WHERE|GROUP|ORDER|JOIN|ON|LIMIT|UNION|HAVING|INNER|LEFT|RIGHT|FULL|CROSS|SEMI|ANTI|EXCEPT|INTERSECT)[A-Za-z_]", m.string[m.end() :], re.I) else f"{m[1]}{view(n, None)}", text, flags=re.I)
-        return self.spark.sql(text)
+        """A statement over the catalog's tables and otree.`path`. Spark parses it; what it says of our tables is done here, all else by Spark.
+
+        Queries: each mention of a table is a frame of its own, whose filters choose its files while Spark plans; `t TABLESAMPLE (p PERCENT)` takes the rows with
+        weights in the fraction, `t VERSION AS OF n` and `t TIMESTAMP AS OF 'time'` those of a version. Also INSERT INTO and OVERWRITE (by position or BY NAME),
+        CREATE TABLE and CREATE, REPLACE TABLE AS with USING otree, DROP and TRUNCATE TABLE, ALTER TABLE ... RENAME TO, ADD COLUMNS, SET and UNSET TBLPROPERTIES,
+        SHOW TABLES, SHOW TBLPROPERTIES and DESCRIBE TABLE. Only SHOW TABLES without a namespace lists our tables, and only those."""
+        return st.run(self, text)
+
+    def at_time(self, name: str, millis: int) -> int:
+        """The newest version of a table that is no younger than a time."""
+        found = [h["version"] for h in self.table(name).history() if h["timestamp"] <= millis]
+        if not found:
+            raise AnalysisError(f"{name} has no version as old as that")
+        return max(found)
