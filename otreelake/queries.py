@@ -22,6 +22,10 @@ from .functions.cubes import Cube
 from .functions.weights import from_fraction, to_fraction, weight
 from .operators.columns import select_columns
 from .operators.index import cell_counts, next_revision
+from .plans.catalyst import items
+from .plans.samples import push_samples
+from .session import disable, enable
+from .sources.relation import index_of
 from .streaming import ingest
 from .table import OTreeTable
 
@@ -200,10 +204,10 @@ def otree_tablesample_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Catalog(spark, f"{root(spark)}/catalog").sql(f"SELECT count(*) AS n, sum(l_quantity) AS qty FROM otree.`{path}` TABLESAMPLE (5 PERCENT)")
 
 
-@query(murmur_sql("lineitem", LINE_KEYS, "l_orderkey, l_partkey, l_linenumber, w::INTEGER AS weight, (w + 2147483648) / 4294967295.0::DOUBLE AS fraction", "l_orderkey < 2000"))
+@query(murmur_sql("lineitem", LINE_KEYS, "l_orderkey, l_partkey, l_linenumber, w::INTEGER AS weight, (w + 2147483648) / 4294967295.0::DOUBLE AS fraction", "true"))
 def otree_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = weight(*LINE_KEYS)
-    return source(spark, sf_dir, "lineitem").where("l_orderkey < 2000").select("l_orderkey", "l_partkey", "l_linenumber", w.alias("weight"), ((w.cast("double") + 2147483648) / 4294967295.0).alias("fraction"))
+    return source(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", w.alias("weight"), ((w.cast("double") + 2147483648) / 4294967295.0).alias("fraction"))
 
 
 @query(murmur_sql("events", ["epoch_us(ts)", "user_id"], "event_id, user_id", f"w < {from_fraction(0.25)}"))
@@ -216,12 +220,187 @@ def otree_sample_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineitem(spark, sf_dir).scan(sample=0.2).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.avg("l_extendedprice").alias("price"))
 
 
-@query()
+def weight_of(fraction: str) -> str:
+    """The weight at a fraction, in SQL."""
+    return f"greatest(-2147483648, least(2147483647, trunc({fraction} * 4294967295.0::DOUBLE - 2147483648)))"
+
+
+_NEEDED = f"(SELECT least(1.0::DOUBLE, greatest(0.0::DOUBLE, pow(1.96 * stddev(l_quantity) / (0.02 * abs(avg(l_quantity))), 2) / (count(*) / 0.05::DOUBLE))) FROM weighed WHERE w < {from_fraction(0.05)})"
+
+
+@query(murmur_sql("lineitem", LINE_KEYS, f"{_NEEDED} AS fraction, avg(l_quantity) AS mean", f"w < {weight_of(_NEEDED)}"))
 def otree_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
     fraction = lineitem(spark, sf_dir).tolerance("l_quantity", 0.02, pilot=0.05)
     return lineitem(spark, sf_dir).scan(sample=fraction).agg(F.lit(fraction).alias("fraction"), F.avg("l_quantity").alias("mean"))
 
 
+# -- predicates as Spark reads them -----------------------------------------------------------------------------------
+
+#: Bigints that doubles do not tell apart.
+_FAR = 1 << 60
+
+
+def notes(spark: SparkSession, sf_dir: str) -> OTreeTable:
+    """Customers with notes that hold quotes, escapes and words of SQL, and with numbers beyond 2^53."""
+    key = F.col("c_custkey")
+    note = F.when(key % 7 == 0, "foo AND c_custkey = 5 AND bar").when(key % 7 == 1, "a\tb").when(key % 7 == 2, "it's \"quoted\"").when(key % 7 == 3, "back\\slash").otherwise("plain")
+    name = f"{sf_dir}:notes"
+    if name not in _NOTES or _NOTES[name].spark is not spark:
+        _NOTES[name] = fresh(spark)
+        _NOTES[name].write(source(spark, sf_dir, "customer").select(key.cast("bigint").alias("c_custkey"), note.alias("note"), (key.cast("bigint") + F.lit(_FAR)).alias("far")), columns="note,c_custkey,far", cube_size=100)
+    return _NOTES[name]
+
+
+_NOTES: dict[str, OTreeTable] = {}
+_NOTES_SQL = f"""WITH notes AS (SELECT c_custkey::BIGINT AS c_custkey, CASE c_custkey % 7 WHEN 0 THEN 'foo AND c_custkey = 5 AND bar' WHEN 1 THEN 'a' || chr(9) || 'b' WHEN 2 THEN 'it''s "quoted"' WHEN 3 THEN 'back\\slash' ELSE 'plain' END AS note, c_custkey::BIGINT + {_FAR} AS far FROM customer) """
+
+
+@query(_NOTES_SQL + "SELECT * FROM notes WHERE note = 'foo AND c_custkey = 5 AND bar' AND c_custkey > 3")
+def otree_filter_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes(spark, sf_dir).scan('note = "foo AND c_custkey = 5 AND bar" AND c_custkey > 3')
+
+
+@query(_NOTES_SQL + """SELECT * FROM notes WHERE note IN ('a' || chr(9) || 'b', 'it''s "quoted"', 'back\\slash')""")
+def otree_filter_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes(spark, sf_dir).scan(r"""note = 'a\tb' OR note = 'it\'s "quoted"' OR note = 'back\\slash'""")
+
+
+@query(_NOTES_SQL + "SELECT * FROM notes WHERE c_custkey < 900 AND note = 'plain'")
+def otree_filter_comment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes(spark, sf_dir).scan("c_custkey < 900 -- AND c_custkey = 5\n AND note = 'plain' /* AND c_custkey = 6 */")
+
+
+@query(_NOTES_SQL + f"SELECT * FROM notes WHERE far < {_FAR + 100} OR far > {_FAR + 950} AND far <= {_FAR + 990} OR far IN ({_FAR + 500}, {_FAR + 501})")
+def otree_filter_bigint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes(spark, sf_dir).scan(f"far < {_FAR + 100} OR far > {_FAR + 950} AND far <= {_FAR + 990} OR far IN ({_FAR + 500}, {_FAR + 501})")
+
+
+# -- pruning of ordinary queries --------------------------------------------------------------------------------------
+
+
+def read_share(df: DataFrame, table: OTreeTable) -> bool:
+    """Whether planning df read fewer files of the table than it has."""
+    found = [index_of(leaf) for leaf in items(df._jdf.queryExecution().analyzed().collectLeaves())]
+    df._jdf.queryExecution().executedPlan().toString()
+    df.count()
+    asked = [a for index in found if index is not None and index.root == table.log.store.root for a in index.asked]
+    return bool(asked) and all(read < total for read, total in asked)
+
+
+@query("SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS qty, true AS pruned FROM lineitem WHERE l_orderkey < 700 AND l_partkey > 100 GROUP BY 1")
+def otree_sql_where_prunes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL over a view of the whole table; the files are chosen by the WHERE."""
+    table = lineitem(spark, sf_dir)
+    c = catalog(spark)
+    c.create("lines", location=table.path)
+    found = c.sql("SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS qty FROM lines WHERE l_orderkey < 700 AND l_partkey > 100 GROUP BY l_returnflag")
+    return found.withColumn("pruned", F.lit(read_share(found, table)))
+
+
+@query(murmur_sql("lineitem", LINE_KEYS, "l_orderkey, l_partkey, l_linenumber, true AS pruned", f"w < {from_fraction(0.05)} AND l_quantity > 20"))
+def otree_df_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """df.sample over a filtered and projected frame, as an enabled session takes it."""
+    table = lineitem(spark, sf_dir)
+    found = push_samples(table.frame().where("l_quantity > 20").select("l_orderkey", "l_partkey", "l_linenumber").sample(0.05))
+    return found.withColumn("pruned", F.lit(read_share(found, table)))
+
+
+@query("SELECT o_orderpriority, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey BETWEEN 50 AND 900 AND l_partkey < 1500 GROUP BY 1")
+def otree_sql_join_prunes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The range of one side's key reaches the other side's files, as Spark infers it over the join."""
+    lines, orders = lineitem(spark, sf_dir), built(spark, sf_dir, "orders", "o_orderkey,o_custkey", 2000)
+    c = catalog(spark)
+    c.create("lines", location=lines.path)
+    c.create("orders", location=orders.path)
+    return c.sql("SELECT o_orderpriority, count(*) AS n FROM lines JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey BETWEEN 50 AND 900 AND l_partkey < 1500 GROUP BY o_orderpriority")
+
+
+# -- SQL statements ---------------------------------------------------------------------------------------------------
+
+
+@query("SELECT n_nationkey::BIGINT AS id, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
+def otree_sql_column_named_as_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = catalog(spark)
+    rows = source(spark, sf_dir, "nation").join(source(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    c.create_as("nat", rows.select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("r_name").alias("region")), columns="id", cube_size=10)
+    c.create_as("region", source(spark, sf_dir, "region"), columns="r_regionkey", cube_size=3)
+    return c.sql("SELECT id, region FROM nat WHERE 'FROM region' <> region")
+
+
+def given(spark: SparkSession, sf_dir: str, *names: str) -> None:
+    for name in names:
+        source(spark, sf_dir, name).createOrReplaceTempView(f"given_{name}")
+
+
+@query("SELECT n_nationkey::BIGINT AS id, n_name AS name, NULL::DOUBLE AS score FROM nation UNION ALL SELECT n_regionkey, n_name, 0.5 FROM nation WHERE n_nationkey < 10")
+def otree_sql_create_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given(spark, sf_dir, "nation")
+    c = catalog(spark)
+    c.sql("CREATE TABLE IF NOT EXISTS student (id BIGINT, name STRING, score DOUBLE) USING otree OPTIONS (columnsToIndex 'id', cubeSize '10')")
+    c.sql("INSERT INTO student (name, id) SELECT n_name, n_nationkey FROM given_nation")
+    c.sql("INSERT INTO student SELECT n_regionkey, n_name, 0.5 FROM given_nation WHERE n_nationkey < 10")
+    return c.sql("SELECT * FROM student")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 50000 UNION ALL SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000")
+def otree_sql_ctas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CREATE TABLE AS over a source, INSERT from the table itself, REPLACE over the outcome."""
+    given(spark, sf_dir, "orders")
+    c = catalog(spark)
+    c.sql("CREATE TABLE dear USING otree OPTIONS (columnsToIndex 'o_orderkey,o_totalprice', cubeSize '2000') AS SELECT o_orderkey, o_totalprice FROM given_orders WHERE o_totalprice > 50000")
+    c.sql("INSERT INTO dear SELECT * FROM dear WHERE o_totalprice > 200000")
+    c.sql("CREATE OR REPLACE TABLE copied USING otree OPTIONS (columnsToIndex 'o_orderkey') AS SELECT * FROM dear")
+    return c.sql("SELECT * FROM copied")
+
+
+@query("SELECT r_regionkey, r_name, 5 AS before FROM region WHERE r_regionkey > 2")
+def otree_sql_insert_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """INSERT OVERWRITE BY NAME, and the version before it."""
+    given(spark, sf_dir, "region")
+    c = catalog(spark)
+    c.sql("CREATE TABLE regions USING otree OPTIONS (columnsToIndex 'r_regionkey') AS SELECT r_regionkey, r_name FROM given_region")
+    c.sql("INSERT OVERWRITE regions BY NAME SELECT r_name, r_regionkey FROM given_region WHERE r_regionkey > 2")
+    return c.sql("SELECT r_regionkey, r_name, (SELECT CAST(count(*) AS INT) FROM regions VERSION AS OF 0) AS before FROM regions")
+
+
+@query("SELECT * FROM (VALUES ('columns', 'a,b,c'), ('p', '2'), ('q', ''), ('tables', 'second')) v(what, value)")
+def otree_sql_alter_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = catalog(spark)
+    for text in ("CREATE TABLE first (a INT, b STRING) USING otree OPTIONS (columnsToIndex 'a')", "ALTER TABLE first SET TBLPROPERTIES ('p' = '1', 'q' = '1')", "ALTER TABLE first SET TBLPROPERTIES ('p' = '2')",
+                 "ALTER TABLE first UNSET TBLPROPERTIES ('q')", "ALTER TABLE first ADD COLUMNS (c DOUBLE)", "CREATE TABLE gone (a INT) USING otree", "ALTER TABLE first RENAME TO second", "DROP TABLE gone", "DROP TABLE IF EXISTS gone"):
+        c.sql(text)
+    held = {r["key"]: r["value"] for r in c.sql("SHOW TBLPROPERTIES second").collect()}
+    columns = ",".join(r["col_name"] for r in c.sql("DESCRIBE TABLE second").collect())
+    tables = ",".join(r["tableName"] for r in c.sql("SHOW TABLES").collect())
+    return spark.createDataFrame([("columns", columns), ("p", held["p"]), ("q", held.get("q", "")), ("tables", tables)], "what string, value string")
+
+
+@query("SELECT c_custkey, c_mktsegment, c_acctbal FROM customer WHERE c_acctbal < 0 UNION ALL SELECT c_custkey, c_mktsegment, c_acctbal FROM customer WHERE c_acctbal < 0 AND c_mktsegment = 'MACHINERY'")
+def otree_write_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """df.write.format, spark.read.format and spark.table of an enabled session."""
+    enable(spark, f"{root(spark)}/catalog-{uuid.uuid4().hex}")
+    try:
+        df, path = source(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), f"{root(spark)}/{uuid.uuid4().hex}"
+        df.write.format("otree").option("columnsToIndex", "c_custkey,c_acctbal").option("cubeSize", 300).save(path)
+        df.where("c_mktsegment = 'MACHINERY'").write.format("otree").mode("append").save(path)
+        spark.read.format("otree").load(path).where("c_acctbal < 0").write.format("otree").option("columnsToIndex", "c_custkey").saveAsTable("poor")
+        return spark.table("poor")
+    finally:
+        disable(spark)
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 2 = 0")
+def otree_vacuum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of overwritten versions go; what is left reads as before."""
+    df = source(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    table = fresh(spark)
+    table.write(df, columns="o_orderkey", cube_size=3000)
+    table.overwrite(df.where("o_orderkey % 2 = 0"))
+    if not table.vacuum(retain_hours=0):
+        raise AnalysisError("no file was removed")
+    return table.scan()
+
+
 # -- writes -----------------------------------------------------------------------------------------------------------
 
 
@@ -372,11 +551,11 @@ def otree_hybrid_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged_twice(spark, sf_dir).scan(sample=0.15, columns=["l_orderkey", "l_partkey", "l_linenumber", "l_quantity"])
 
 
-@query("SELECT l_orderkey, l_partkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey < 2500")
+@query("SELECT l_orderkey, l_partkey, l_linenumber, l_quantity FROM lineitem")
 def otree_optimize_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = staged_twice(spark, sf_dir)
     table.optimize(0)
-    return table.scan("l_orderkey < 2500", columns=["l_orderkey", "l_partkey", "l_linenumber", "l_quantity"])
+    return table.scan(columns=["l_orderkey", "l_partkey", "l_linenumber", "l_quantity"])
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
@@ -452,6 +631,22 @@ def otree_string_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(v,) for v in tf.compute_quantiles(source(spark, sf_dir, "part"), "p_name", 10)], "name string")
 
 
+def best_columns_sql(pairs: list[tuple[str, str]], most: int) -> str:
+    """The columns with the lowest sums of absolute correlations."""
+    each = " UNION ALL ".join(f"SELECT '{x}' AS c, r FROM (SELECT abs(corr({a}, {b})) AS r FROM numbers)" for a, b in pairs for x in (a, b))
+    return f"SELECT c AS \"column\" FROM ({each}) GROUP BY c ORDER BY sum(CASE WHEN r IS NULL OR isnan(r) THEN 0 ELSE r END), c LIMIT {most}"
+
+
+_MIXED = ["l_orderkey", "l_partkey", "mixed", "l_quantity", "l_extendedprice", "l_tax"]
+_PAIRS = [(a, b) for i, a in enumerate(_MIXED) for b in _MIXED[:i]]
+
+
+@query("WITH numbers AS (SELECT l_orderkey, l_partkey, l_linenumber * l_orderkey AS mixed, l_quantity, l_extendedprice, l_tax FROM lineitem) " + best_columns_sql(_PAIRS, 3))
+def otree_select_number_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = source(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", (F.col("l_linenumber") * F.col("l_orderkey")).alias("mixed"), "l_quantity", "l_extendedprice", "l_tax")
+    return spark.createDataFrame([(c,) for c in select_columns(df, 3)], "column string")
+
+
 @query()
 def otree_select_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(c,) for c in select_columns(source(spark, sf_dir, "lineitem"), 3)], "column string")
