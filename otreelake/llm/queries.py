@@ -43,21 +43,25 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "finish")
 
 
 OP3_SQL = r"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('17:' || coalesce(doc_id::VARCHAR, 'null')) AS k FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('17:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS k, coalesce('s' || source, 't') AS q FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, (CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END)::BIGINT AS weight FROM d GROUP BY source),
 o AS (SELECT *, sum(2 * source_size) OVER w AS filled, sum(weight) OVER () - sum(weight) OVER w AS rest, 1.5::DOUBLE * sum(source_size) OVER () AS budget FROM s WINDOW w AS (ORDER BY 2.0::DOUBLE * source_size / weight, source ROWS UNBOUNDED PRECEDING)),
 c AS (SELECT o.*, rest + weight AS open FROM o),
 l AS (SELECT max((budget - (filled - 2 * source_size)::DOUBLE) / open::DOUBLE) AS level FROM c),
 t AS (SELECT source, source_size, least((2 * source_size)::DOUBLE, weight * (SELECT level FROM l)) AS target FROM s),
-p AS (SELECT d.doc_id, d.size, t.source_size, t.target, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.size ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, (greatest(0, least(size, floor(target)::BIGINT - (upto - size))) + greatest(0, least(size, floor(target)::BIGINT - (upto - size) - source_size)))::BIGINT AS taken,
- CASE WHEN target > 0 THEN upto / target END AS finish
-FROM p
+p AS (SELECT row_number() OVER () AS r, d.doc_id, d.q, d.k, d.size, t.source_size, t.target, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.size ROWS UNBOUNDED PRECEDING)::BIGINT - d.size AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c2 AS (SELECT *, start + copy * source_size AS own FROM (SELECT p.*, unnest([0, 1]) AS copy FROM p WHERE target > 0)),
+e AS (SELECT *, CASE WHEN own < target AND own + size > target THEN unnest(range(0, (size + 15) // 16)) ELSE 0 END AS packet, own < target AND own + size > target AS dealt FROM (SELECT *, 1 AS one FROM c2) WHERE size > 0),
+f AS (SELECT DISTINCT r, q, k, copy, packet, CASE WHEN dealt THEN own + least(size, (packet + 1) * 16) ELSE own + size END AS upto, CASE WHEN dealt THEN least(size, (packet + 1) * 16) - packet * 16 ELSE size END AS words, target FROM e),
+g AS (SELECT *, sum(words) OVER (ORDER BY upto::DOUBLE / target, q, k, copy, packet ROWS UNBOUNDED PRECEDING) AS total FROM f),
+h AS (SELECT r, sum(greatest(0, least(words, (SELECT floor(1.5::DOUBLE * sum(size)) FROM d)::BIGINT - (total - words))))::BIGINT AS taken FROM g GROUP BY r)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, CASE WHEN target > 0 THEN (start + size)::DOUBLE / target END AS finish
+FROM p LEFT JOIN h USING (r)
 """
 
 
