@@ -92,8 +92,8 @@ def placed(rows: DataFrame, ahead: DataFrame) -> DataFrame:
 
 
 def finish(words: Column) -> Column:
-    """The virtual time at which a source has been served so many words."""
-    return words.cast("double") / F.col("_target")
+    """The virtual time at which a source has been served so many words; null where its target is 0."""
+    return F.try_divide(words.cast("double"), F.col("_target"))
 
 
 def packets(max_repeats: int) -> Column:
