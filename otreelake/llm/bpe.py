@@ -7,12 +7,18 @@ than texts do, so their encodings are kept in a bounded table.
 
 The vocabulary file is of the public `tokenizers` kind: a byte-level BPE model, here with word ends, NFC, lower case, and
 special tokens that are found in the raw text first. Merging follows rank, then position, as that library does.
+
+Letters, numbers and normal forms are those of that library's Unicode tables, which are not Python's: code points that the two see differently, and
+all that Python's tables do not know, are found once by asking the library's normalizer and classes. Texts with such a code point are
+normalised by the library and cut by its classes.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
+import sys
 import unicodedata
 from itertools import pairwise
 
@@ -39,9 +45,51 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+@functools.cache
+def classes() -> tuple[str, str, str]:
+    """Code points to treat with the library's tables, and its letters and numbers, each as the inside of a set of a pattern."""
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    points = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF]
+    text = "".join(points)
+
+    def members(pattern: str) -> set[str]:
+        """Those that a class of the library's patterns holds."""
+        rest = pre_tokenizers.Split(Regex(pattern), "removed").pre_tokenize_str(text)
+        return set(points) - {c for _, (start, end) in rest for c in points[start:end]}
+
+    letters, numbers = members(r"\p{L}"), members(r"\p{N}")
+    normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+    py_letters, py_numbers = (set(regex.findall(rf"\p{{{k}}}", text)) for k in "LN")
+    odd = (letters ^ py_letters) | (numbers ^ py_numbers) | {c for c in points if unicodedata.category(c) == "Cn"}
+    odd |= {c for c in points if c not in odd and normal.normalize_str(c) != plain_form(c)}
+    return ranges(odd), ranges(letters), ranges(numbers)
+
+
+def ranges(chars: set[str]) -> str:
+    """Characters as the inside of a set."""
+    found: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if found and found[-1][1] == c - 1:
+            found[-1][1] = c
+        else:
+            found.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" if b > a else f"\\U{a:08x}" for a, b in found)
+
+
+def plain_form(text: str) -> str:
+    """NFC and lower case by Python's tables."""
+    text = unicodedata.normalize("NFC", text)
+    if "Σ" in text:  # lower() has a form for the end of words; the vocabulary's library has not
+        text = text.replace("Σ", "σ")
+    return text.lower()
+
+
 class ForcedBoundaryBPE:
-    def __init__(self, spec: str | bytes) -> None:
-        """spec: the vocabulary file's JSON."""
+    def __init__(self, spec: str | bytes, tables: tuple[str, str, str] | None = None) -> None:
+        """spec: the vocabulary file's JSON; tables: what classes() gave, if it is known."""
+        self.tables = tables or classes()
+        self.odd = regex.compile(f"[{self.tables[0]}]") if self.tables[0] else None
         spec = json.loads(spec)
         model = spec["model"]
         kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
@@ -68,6 +116,7 @@ class ForcedBoundaryBPE:
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.special_at = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.piece = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
+        self.odd_piece: regex.Pattern | None = None
         self.words: dict[str, tuple[int, ...]] = {}
         self.fragments: dict[tuple[bytes, bool], tuple[int, ...]] = {}
 
@@ -83,18 +132,35 @@ class ForcedBoundaryBPE:
             if k % 2:
                 ids.append(self.special[part])
                 continue
-            part = unicodedata.normalize("NFC", part)
-            if "Σ" in part:  # lower() has a form for the end of words; the vocabulary's library has not
-                part = part.replace("Σ", "σ")
-            words, known = part.lower(), self.words
+            if not part.isascii() and self.odd and self.odd.search(part):
+                ids += self.odd_part(part)
+                continue
+            words, known = part.lower() if part.isascii() else plain_form(part), self.words
             for word in [words] if _NOT_SPACE.search(words) else words.split():
                 got = known.get(word)
                 ids += self.word(word) if got is None else got
         return ids
 
+    def odd_part(self, part: str) -> list[int]:
+        """With the library's tables throughout."""
+        from tokenizers import normalizers
+
+        if self.odd_piece is None:
+            letters, numbers = self.tables[1:]
+            self.odd_piece = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{SPACE}{letters}{numbers}]+")
+        return list(self.pieces(self.odd_piece.findall(normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str(part))))
+
     def word(self, word: str) -> tuple[int, ...]:
+        out = self.pieces(self.piece.findall(word))
+        if len(word) < 64:
+            if len(self.words) >= CACHE_ENTRIES:
+                self.words.clear()
+            self.words[word] = tuple(out)
+        return tuple(out)
+
+    def pieces(self, found: list[str]) -> list[int]:
         out: list[int] = []
-        for piece in self.piece.findall(word):
+        for piece in found:
             data = piece.encode()
             ends = [*self.cut_points(data), len(data)]
             start = 0
@@ -109,11 +175,7 @@ class ForcedBoundaryBPE:
                         self.fragments[fragment] = got
                 out += got
                 start = end
-        if len(word) < 64:
-            if len(self.words) >= CACHE_ENTRIES:
-                self.words.clear()
-            self.words[word] = tuple(out)
-        return tuple(out)
+        return out
 
     def merged(self, data: bytes, ends_word: bool) -> list[int]:
         ids = [self.first[b] for b in data]
@@ -164,20 +226,20 @@ class ForcedBoundaryBPE:
 _BUILT: dict[int, ForcedBoundaryBPE] = {}
 
 
-def built(spec: bytes) -> ForcedBoundaryBPE:
+def built(spec: bytes, tables: tuple[str, str, str]) -> ForcedBoundaryBPE:
     """One encoder a worker process, with its table of fragments."""
     key = hash(spec)
     if key not in _BUILT:
         _BUILT.clear()
-        _BUILT[key] = ForcedBoundaryBPE(spec)
+        _BUILT[key] = ForcedBoundaryBPE(spec, tables)
     return _BUILT[key]
 
 
 def loader(df: DataFrame, vocabulary: str):
     """What makes the encoder on an executor. The file is read on the driver and broadcast; its size is that of one vocabulary, whatever the data."""
     with open(vocabulary, "rb") as f:
-        sent = df.sparkSession.sparkContext.broadcast(f.read())
-    return lambda: built(sent.value)
+        sent = df.sparkSession.sparkContext.broadcast((f.read(), classes()))
+    return lambda: built(*sent.value)
 
 
 def bpe_encode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

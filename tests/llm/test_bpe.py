@@ -40,6 +40,19 @@ def test_same_as_the_library(ours, library):
         assert ours.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_every_code_point(ours, library):
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    rng = random.Random(4)
+    odd = [c for c in points if ours.odd.match(c)]
+    mixed = ["".join(rng.choice(rng.choice((odd, points[:0x3000], points))) for _ in range(rng.randrange(1, 30))) for _ in range(20_000)]
+    for made in ([f"a{c}b" for c in points], mixed):
+        for at in range(0, len(made), 50_000):
+            chunk = made[at : at + 50_000]
+            want = library.encode_batch(chunk, add_special_tokens=False)
+            wrong = [ascii(t) for t, w in zip(chunk, want, strict=True) if ours.encode(t) != w.ids]
+            assert not wrong, wrong[:5]
+
+
 def test_cuts_are_certain(ours, library):
     """Joined pairs stand in some token; a fragment's encoding does not depend on what stands next to it."""
     inside = set()
