@@ -129,8 +129,74 @@ def first_copies(sketches: list[list[int]], alike: int = 6) -> list[bool]:
     return first
 
 
+@dataclass(frozen=True)
+class Sparse:
+    """Documents' features: of each entry the document, the feature and the value."""
+
+    rows: np.ndarray
+    cols: np.ndarray
+    vals: np.ndarray
+    documents: int
+    features: int
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, self.vals * w[self.cols], self.documents) if len(self.rows) else np.zeros(self.documents)
+
+    def of(self, kept: np.ndarray) -> Sparse:
+        """Some of the documents."""
+        place = np.cumsum(kept) - 1
+        own = kept[self.rows]
+        return Sparse(place[self.rows[own]], self.cols[own], self.vals[own], int(kept.sum()), self.features)
+
+
+def thresholds(t: np.ndarray) -> np.ndarray:
+    """t holds t_1 and the logarithms of the steps to the others."""
+    return t[0] + np.concatenate([[0.0], np.cumsum(np.exp(t[1:]))])
+
+
+def expected_severity(x: np.ndarray, t: np.ndarray) -> np.ndarray:
+    return (1 / (1 + np.exp(np.clip(thresholds(t) - x[:, None], -700, 700)))).sum(1)
+
+
+def loss_and_gradients(w: np.ndarray, t: np.ndarray, data: Sparse, grade: np.ndarray, ridge: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean of -log P(grade) and half the ridge's square, with the derivatives by the shared weights and by t."""
+    x = data.dot(w)
+    at_least = 1 / (1 + np.exp(np.clip(thresholds(t) - x[:, None], -30, 30)))
+    upper, lower = np.hstack([np.ones((len(x), 1)), at_least]), np.hstack([at_least, np.zeros((len(x), 1))])
+    k, n = np.arange(len(x)), max(1, len(x))
+    p = np.maximum((upper - lower)[k, grade], 1e-9)
+    slope = np.zeros((len(x), GRADES + 2))
+    slope[:, 1:-1] = at_least * (1 - at_least)
+    by_theta = np.zeros((len(x), GRADES + 2))
+    by_theta[k, grade] = slope[k, grade] / p
+    by_theta[k, grade + 1] -= slope[k, grade + 1] / p
+    by_theta = by_theta[:, 1:-1]  # of -log p
+    by_x = -by_theta.sum(1) / n
+    g_theta = by_theta.sum(0) / n
+    g_w = (np.bincount(data.cols, data.vals * by_x[data.rows], len(w)) if len(data.rows) else np.zeros(len(w))) + ridge * w
+    g_t = np.array([g_theta.sum(), *(g_theta[j:].sum() * math.exp(t[j]) for j in range(1, GRADES))])
+    return float(-np.log(p).sum() / n + ridge * (w @ w) / 2), g_w, g_t
+
+
+def solve(data: Sparse, grade: np.ndarray, steps: int, rate: float, ridge: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and t by Adam."""
+    w, t = np.zeros(data.features), np.array([3.0, *([0.0] * (GRADES - 1))])
+    moment, speed = np.zeros(len(w) + GRADES), np.zeros(len(w) + GRADES)
+    for step in range(1, steps + 1):
+        g = np.concatenate(loss_and_gradients(w, t, data, grade, ridge)[1:])
+        moment, speed = 0.9 * moment + 0.1 * g, 0.999 * speed + 0.001 * g * g
+        move = rate * (moment / (1 - 0.9**step)) / (np.sqrt(speed / (1 - 0.999**step)) + 1e-8)
+        w, t = w - move[: len(w)], t - move[len(w) :]
+        t[1:] = np.clip(t[1:], -6, 3)
+    return w, t
+
+
+#: Parts of the sample of which each is judged by a model of the others, to find the cut.
+FOLDS = 4
+
+
 def fit(strength: dict[str, float], chosen: list[str], counts: list[Counter], toxic: list[int], steps: int = 1500, rate: float = 0.1, ridge: float = 1e-5) -> OrdinalModel:
-    """The model of labelled counts of the chosen features."""
+    """The model of labelled counts of the chosen features. The cut is that of the expected severities that each part of the sample has under a model of the other parts."""
     place = {f: i for i, f in enumerate(chosen)}
     marked = {f for f in chosen if strength[f] > 0}
     evidence = [sum(n for w, n in c.items() if w in marked) for c in counts]
@@ -138,39 +204,22 @@ def fit(strength: dict[str, float], chosen: list[str], counts: list[Counter], to
     cuts = [some[len(some) * k // GRADES] for k in range(1, GRADES)] if some else [1] * (GRADES - 1)
     grade = np.array([0 if not y else 1 + sum(e > c for c in cuts) for e, y in zip(evidence, toxic, strict=True)])
 
-    rows = np.array([i for i, c in enumerate(counts) for w in c if w in place], np.int64)
-    cols = np.array([place[w] for c in counts for w in c if w in place], np.int64)
-    vals = np.array([1 + math.log(n) for c in counts for w, n in c.items() if w in place])
-    w = np.zeros(len(place))
-    # t_1 and the logarithms of the steps to t_2 and t_3
-    t = np.array([3.0, *([0.0] * (GRADES - 1))])
-    moment, speed = np.zeros(len(w) + GRADES), np.zeros(len(w) + GRADES)
-    for step in range(1, steps + 1):
-        x = np.bincount(rows, vals * w[cols], len(counts)) if len(rows) else np.zeros(len(counts))
-        theta = t[0] + np.concatenate([[0.0], np.cumsum(np.exp(t[1:]))])
-        at_least = 1 / (1 + np.exp(np.clip(theta - x[:, None], -30, 30)))
-        upper, lower = np.hstack([np.ones((len(x), 1)), at_least]), np.hstack([at_least, np.zeros((len(x), 1))])
-        k = np.arange(len(x))
-        p = np.maximum((upper - lower)[k, grade], 1e-9)
-        slope = np.zeros((len(x), GRADES + 2))
-        slope[:, 1:-1] = at_least * (1 - at_least)
-        d_theta = np.zeros((len(x), GRADES + 2))
-        d_theta[k, grade] = slope[k, grade] / p
-        d_theta[k, grade + 1] -= slope[k, grade + 1] / p
-        d_theta = d_theta[:, 1:-1]  # of -log p by each threshold
-        by_x = -d_theta.sum(1) / max(1, len(x))
-        g_theta = d_theta.sum(0) / max(1, len(x))
-        g_w = np.bincount(cols, vals * by_x[rows], len(w)) + ridge * w if len(rows) else ridge * w
-        g_t = np.array([g_theta.sum(), *(g_theta[j:].sum() * math.exp(t[j]) for j in range(1, GRADES))])
-        g = np.concatenate([g_w, g_t])
-        moment, speed = 0.9 * moment + 0.1 * g, 0.999 * speed + 0.001 * g * g
-        move = rate * (moment / (1 - 0.9**step)) / (np.sqrt(speed / (1 - 0.999**step)) + 1e-8)
-        w, t = w - move[: len(w)], t - move[len(w) :]
-        t[1:] = np.clip(t[1:], -6, 3)
-    theta = t[0] + np.concatenate([[0.0], np.cumsum(np.exp(t[1:]))])
-    x = np.bincount(rows, vals * w[cols], len(counts)) if len(rows) else np.zeros(len(counts))
-    expected = (1 / (1 + np.exp(np.clip(theta - x[:, None], -700, 700)))).sum(1)
-    return OrdinalModel({word: float(w[i]) for word, i in place.items()}, tuple(map(float, theta)), best_cut(expected, np.array(toxic)))
+    entries = [(i, place[w], 1 + math.log(n)) for i, c in enumerate(counts) for w, n in c.items() if w in place]
+    rows, cols, vals = (np.array(x, kind) for x, kind in zip(zip(*entries), (np.int64, np.int64, float))) if entries else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    data, known = Sparse(rows, cols, vals, len(counts), len(place)), np.array(toxic)
+    part = np.arange(len(counts)) % FOLDS  # documents come in order of their ids, which say nothing
+    judged = np.zeros(len(counts))
+    for k in range(FOLDS):
+        others = part != k
+        if len(set(known[others])) < 2:
+            judged[~others] = np.nan
+            continue
+        w, t = solve(data.of(others), grade[others], steps // 3, rate, ridge)
+        judged[~others] = expected_severity(data.of(~others).dot(w), t)
+    fair = ~np.isnan(judged)
+    w, t = solve(data, grade, steps, rate, ridge)
+    cut_at = best_cut(judged[fair], known[fair])
+    return OrdinalModel({word: float(w[i]) for word, i in place.items()}, tuple(map(float, thresholds(t))), cut_at)
 
 
 def best_cut(expected: np.ndarray, toxic: np.ndarray) -> float:
@@ -186,13 +235,14 @@ def best_cut(expected: np.ndarray, toxic: np.ndarray) -> float:
 
 def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel:
     """The model of a bounded sample of labelled documents: `sample` ids of either label at most, by hash; a document without text counts as empty.
-    Labels other than 0 and 1, null ids and labels without a document are left out; of repeated labels the higher counts. Where only one label
+    Labels other than 0 and 1, null ids and labels without a document are left out; of repeated labels the higher counts, of repeated ids the least text. Where only one label
     occurs there is nothing to learn, and the model finds nothing toxic."""
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = known.where("_toxic = 1").orderBy(*order).limit(sample).union(known.where("_toxic = 0").orderBy(*order).limit(sample))
     kind = dict(docs.dtypes)["doc_id"]
-    texts = cut(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"))
+    # 2 * sample ids at most
+    texts = cut(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "_toxic").agg(F.min("text").alias("text")))
     sketches = map_batches(texts, lambda c: {"doc_id": c["doc_id"], "sketch": [sketch(t) for t in c["text"]], "toxic": c["_toxic"]}, f"doc_id {kind}, sketch array<bigint>, toxic int").toArrow().sort_by("doc_id").to_pylist()
     first = {r["doc_id"]: r["toxic"] for r, f in zip(sketches, first_copies([r["sketch"] for r in sketches]), strict=True) if f}  # 2 * sample at most
     n = sum(first.values())

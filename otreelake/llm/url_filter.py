@@ -41,7 +41,8 @@ def digest_array(rules: dict[str, str]) -> bytes:
     lengths = sorted({len(rule) - len(rule.partition("/")[0]) for rule in rules})
     ends = np.cumsum([0, *(len(t) for _, t in rows)], dtype=np.int64)
     out = io.BytesIO()
-    for part in (np.array([len(rows), len(lengths), *lengths], np.int64), keys, ends):
+    longest = max((len(rule.partition("/")[0]) for rule in rules), default=0)
+    for part in (np.array([len(rows), longest, len(lengths), *lengths], np.int64), keys, ends):
         out.write(part.tobytes())
     out.write(b"".join(t for _, t in rows))
     if out.tell() > MAX_FILTER_BYTES:
@@ -54,9 +55,9 @@ class DigestArray:
 
     def __init__(self, path: str) -> None:
         self.data = np.memmap(path, np.uint8, "r")
-        n, m = self.data[:16].view(np.int64).tolist()
-        at = 16 + 8 * m
-        self.lengths = self.data[16:at].view(np.int64).tolist()
+        n, self.longest, m = self.data[:24].view(np.int64).tolist()
+        at = 24 + 8 * m
+        self.lengths = self.data[24:at].view(np.int64).tolist()
         self.keys = self.data[at : at + 8 * n].view(np.uint64)
         self.ends = self.data[at + 8 * n : at + 16 * n + 8].view(np.int64)
         self.text = self.data[at + 16 * n + 8 :]
@@ -83,6 +84,9 @@ class DigestArray:
         parts = [split_url(u) for u in urls]
         candidates, owner = [], []
         for k, (host, path) in enumerate(parts):
+            # Only ends of the host that are no longer than the longest host of a rule, however many labels it has.
+            if len(host) > self.longest:
+                host = host[len(host) - self.longest - 1 :].partition(".")[2]
             while host:
                 for n in self.lengths:
                     if n <= len(path):
@@ -107,7 +111,8 @@ def publish(spark: SparkSession, data: bytes) -> str:
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):
         with_open = fs.create(path, True)
-        with_open.write(bytearray(data))
+        for at in range(0, len(data), 1 << 23):
+            with_open.write(bytearray(data[at : at + (1 << 23)]))
         with_open.close()
     spark.sparkContext.addFile(fs.makeQualified(path).toString())
     return name
@@ -116,7 +121,7 @@ def publish(spark: SparkSession, data: bytes) -> str:
 def filter_urls(pages: DataFrame, rules: dict[str, str], default: str = "allow", id_column: str = "page_id", url_column: str = "url") -> DataFrame:
     """A row for each page: its id, host, path, the longest rule that fits (else null) and the verdict (allow or block; the default without a rule).
 
-    A rule fits its host and all subdomains, if the path starts with the rule's path. Null urls and urls without
+    A rule fits its host and all subdomains, if the path starts with the rule's path; of two of one length, the one with the longer host wins. Null urls and urls without
     `://` have an empty host and path, fit nothing and get the default; repeated rows stay; other columns are not read.
     """
     name = publish(pages.sparkSession, digest_array(rules))
