@@ -22,6 +22,7 @@ import sys
 import unicodedata
 from itertools import pairwise
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
@@ -89,7 +90,10 @@ class ForcedBoundaryBPE:
     def __init__(self, spec: str | bytes, tables: tuple[str, str, str] | None = None) -> None:
         """spec: the vocabulary file's JSON; tables: what classes() gave, if it is known."""
         self.tables = tables or classes()
-        self.odd = regex.compile(f"[{self.tables[0]}]") if self.tables[0] else None
+        #: odd[c]: whether a code point needs the library's tables.
+        self.odd = np.zeros(sys.maxunicode + 1, bool)
+        for low, high in regex.findall(r"\\U(.{8})(?:-\\U(.{8}))?", self.tables[0]):
+            self.odd[int(low, 16) : int(high or low, 16) + 1] = True
         spec = json.loads(spec)
         model = spec["model"]
         kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
@@ -132,7 +136,7 @@ class ForcedBoundaryBPE:
             if k % 2:
                 ids.append(self.special[part])
                 continue
-            if not part.isascii() and self.odd and self.odd.search(part):
+            if not part.isascii() and self.odd[np.frombuffer(part.encode("utf-32-le"), np.uint32)].any():
                 ids += self.odd_part(part)
                 continue
             words, known = part.lower() if part.isascii() else plain_form(part), self.words

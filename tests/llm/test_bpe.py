@@ -43,7 +43,7 @@ def test_same_as_the_library(ours, library):
 def test_every_code_point(ours, library):
     points = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
     rng = random.Random(4)
-    odd = [c for c in points if ours.odd.match(c)]
+    odd = [c for c in points if ours.odd[ord(c)]]
     mixed = ["".join(rng.choice(rng.choice((odd, points[:0x3000], points))) for _ in range(rng.randrange(1, 30))) for _ in range(20_000)]
     for made in ([f"a{c}b" for c in points], mixed):
         for at in range(0, len(made), 50_000):
