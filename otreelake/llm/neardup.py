@@ -195,7 +195,8 @@ def forest(classes: DataFrame, plausible: float) -> DataFrame:
             if (got := candidates(*joined, old)) is not None:
                 yield got
 
-    return rows.repartitionByRange("tree", "key").sortWithinPartitions("tree", "key", "_id").mapInArrow(run, schema)
+    # The id is part of the order, so that classes of one key, however many, are dealt out too.
+    return rows.repartitionByRange("tree", "key", "_id").sortWithinPartitions("tree", "key", "_id").mapInArrow(run, schema)
 
 
 def in_regions(classes: DataFrame, threshold: tuple[int, int], rows: int) -> DataFrame:
@@ -381,7 +382,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
 
     final = cut(components(checked.union(more).where("linked").select("a", "b")), n)
     labelled = cut(classes.select("set_key", "_id").join(final, "_id", "left").select("set_key", F.coalesce("component", "_id").alias("component")), n)
-    rows = signed.select("_id", "n_shingles", "set_key").join(labelled, "set_key", "left")
+    # Texts without words have no class; a key of their own each keeps them out of one task.
+    rows = signed.select("_id", "n_shingles", F.coalesce("set_key", F.concat(F.lit("-").cast("binary"), F.col("_id").cast("string").cast("binary"))).alias("set_key")).join(labelled, "set_key", "left")
     component = F.when(F.col("_id").isNotNull(), F.coalesce("component", "_id"))
     return rows.select(F.col("_id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(True)).alias("kept"))
 

@@ -95,6 +95,35 @@ def test_links_in_a_crowded_region(frame, prose, monkeypatch):
     assert got == want
 
 
+def test_recall_among_ten_thousand(frame, prose):
+    """Crowds of 100 on a template each, whose members are alike but no links, with some links among them, and single documents with copies: no link is lost."""
+    rng = random.Random(21)
+    rows, at = [], iter(rng.sample(range(1 << 40), 10_000))
+    groups = []
+    for k in range(50):
+        template = prose(30_000 + k, 130)
+        crowd = []
+        for j in range(100):
+            own = prose(40_000 + 100 * k + j, 14)
+            if j % 10 == 9:  # a link to the one before it, in part at the threshold
+                own = " ".join(crowd[-1][1].split()[130 : 130 + rng.randrange(8, 15)]) + " " + prose(60_000 + 100 * k + j, 5)
+            crowd.append((next(at), f"{template} {own}"))
+        groups.append(crowd)
+    for k in range(2500):
+        text = prose(100_000 + k, 40 + k % 60)
+        groups.append([(next(at), text), (next(at), edited(rng, text, k % 4))])
+    rows = [r for g in groups for r in g]
+    want, links = {}, 0
+    for g in groups:
+        found = brute(g, 3, (85, 100))
+        want |= {i: c for i, (_, c) in found.items()}
+        links += sum(i != c for i, (_, c) in found.items())
+    got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(frame([(i, t, None, None) for i, t in rows]), 3, (85, 100)).collect()}
+    lost = sum(got[i] != c for i, c in want.items())
+    print(f"{len(rows)} documents, {links} of them linked with a smaller one, {lost} in another component than by brute force")
+    assert links > 1000 and lost == 0
+
+
 def test_no_link_is_lost_by_the_sketch(frame, prose, monkeypatch):
     """With a cut by sketch that lets nothing through, the links come from the second round alone, which has exact bounds."""
     monkeypatch.setattr(N, "least_likeness", lambda threshold: 2.0)
