@@ -2,11 +2,12 @@
 
 A candidate is a longest run of encoding characters of 20 or more. The smallest encoding that holds it is inferred, and its
 symbols' values are tested for what a random string shows: chi-squared uniformity over equal slices of the alphabet, the
-number of runs about the middle of the alphabet, and lag-1 serial correlation. A string that any of the three rejects (level
-`REJECT`, shared among the three) is no secret.
+number of runs about the middle of the alphabet, and lag-1 serial correlation. The battery's p-value is that of the least of the three, for
+three tests; a string that it rejects at `REJECT` is no secret.
 
-What is left has to be a discovery against ordinary text: its p-value is the inverse likelihood ratio of the uniform encoding against
-one model of ordinary strings (letters of prose in either case, digits and separators, each in runs), a bound by Markov's inequality that shrinks with every further symbol. A weighted Benjamini-Hochberg step
+What is left has to be a discovery against ordinary text: its p-value is the inverse of the likelihood ratio of the uniform encoding against
+one model of ordinary strings (letters of prose in either case, digits and separators, each in runs) times the battery's p-value, a bound by
+Markov's inequality that shrinks with every further symbol and grows the less random the string looks. A weighted Benjamini-Hochberg step
 over the candidates of a text, with weights in proportion to length, keeps the share of false discoveries below `FDR`.
 """
 
@@ -124,6 +125,13 @@ def p_against_prose(string: str, alphabet: str) -> float:
     return math.exp(-min(ratio, 700.0)) if ratio > 0 else 1.0
 
 
+def p_value(string: str, alphabet: str) -> float:
+    """What the discovery step takes: the likelihood ratio, lessened by the battery's p-value (that of the three tests' least, for all three). A ratio that is lessened
+    is still bounded by Markov's inequality, so its inverse is a p-value under ordinary text. 1 if the battery rejects."""
+    as_random = min(1.0, 3 * min(battery(string, alphabet)))
+    return min(1.0, p_against_prose(string, alphabet) / as_random) if as_random >= REJECT else 1.0
+
+
 def random_spans(text: str) -> list[tuple[int, int]]:
     """Spans of the strings that the battery leaves and the discovery step takes."""
     found = []
@@ -132,8 +140,7 @@ def random_spans(text: str) -> list[tuple[int, int]]:
         if string.isalpha() and (string.islower() or string[1:].islower()):
             continue  # a word: far likelier as prose than by any encoding
         alphabet = ENCODINGS[encoding_of(string)]
-        p = p_against_prose(string, alphabet) if min(battery(string, alphabet)) >= REJECT / 3 else 1.0
-        found.append((p, match.span()))
+        found.append((p_value(string, alphabet), match.span()))
     lengths = sum(b - a for _, (a, b) in found)
     weighted = sorted((p * lengths / (len(found) * (span[1] - span[0])), span) for p, span in found)
     last = max((k for k, (p, _) in enumerate(weighted, 1) if p <= FDR * k / len(weighted)), default=0)

@@ -54,6 +54,43 @@ def test_discoveries_get_harder_with_candidates():
     assert len(alone) >= len(crowd)
 
 
+def test_battery_against_simulation():
+    """Of random strings each test rejects about as many as its level says."""
+    rng = random.Random(11)
+    for name in ("hex", "base62", "base64"):
+        alphabet = S.ENCODINGS[name]
+        got = [S.battery("".join(rng.choices(alphabet, k=60)), alphabet) for _ in range(2000)]
+        for k in range(3):
+            for level in (0.05, 0.2):
+                assert abs(sum(p[k] <= level for p in got) / 2000 - level) < 0.03, (name, k, level)
+
+
+def test_discovery_step_against_brute_force(monkeypatch):
+    """Weighted Benjamini-Hochberg by its definition: the most candidates whose weighted p-values stay below the line."""
+    rng = random.Random(12)
+    for _ in range(300):
+        texts = ["".join(rng.choices("AbC9", k=rng.randrange(20, 60))) for _ in range(rng.randrange(1, 9))]
+        p_of = {t: 10 ** rng.uniform(-6, 0) for t in texts}
+        monkeypatch.setattr(S, "p_value", lambda string, alphabet: p_of[string])
+        total = sum(map(len, texts))
+        q = {t: p_of[t] * total / (len(texts) * len(t)) for t in texts}
+        most = max((k for k in range(1, len(texts) + 1) if sorted(q.values())[k - 1] <= S.FDR * k / len(texts)), default=0)
+        want = set(sorted(texts, key=q.__getitem__)[:most])
+        joined = " ".join(texts)
+        assert {joined[a:b] for a, b in S.random_spans(joined)} == want
+
+
+def test_the_battery_counts_in_the_discovery():
+    alphabet = S.ENCODINGS["base62"]
+    string = "q7Zp2Xv9Lk4Rt8Wm3Bn6"
+    assert S.p_value(string, alphabet) >= S.p_against_prose(string, alphabet)
+    rng = random.Random(13)
+    for _ in range(200):
+        t = "".join(rng.choices(alphabet, k=30))
+        b = min(1.0, 3 * min(S.battery(t, alphabet)))
+        assert S.p_value(t, alphabet) == (min(1.0, S.p_against_prose(t, alphabet) / b) if b >= S.REJECT else 1.0)
+
+
 def test_redact():
     text = "a token = abcdefgh b 0123456789abcdef01234567 c"
     assert S.redact(text) == "a [SECRET] b [SECRET] c"
