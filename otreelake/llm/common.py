@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 from collections.abc import Callable, Iterator
@@ -14,14 +15,16 @@ from pyspark.sql import functions as F
 #: A word: a longest run of characters that are no ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Texts in one Arrow batch, and in one batch of the Parquet reader; a task holds one of each at a time, so they bound its memory.
-BATCH_ROWS, READ_ROWS = 1000, 512
+#: Texts and bytes in one Arrow batch, and texts in one batch of the Parquet reader; a task holds one of each at a time, so they bound its memory.
+BATCH_ROWS, BATCH_BYTES, READ_ROWS = 1000, 16 << 20, 512
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Sets the session's batch sizes to what whole texts need."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
+    """Sets the session's batch sizes to what whole texts need; larger ones that the session has go down, smaller ones stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)):
+        held = spark.conf.get(key).removesuffix("b")
+        if not (held.isdigit() and 0 < int(held) <= most):
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,11 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one if all runs on this machine, else an error."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             named = tempfile.mkdtemp(prefix="otreelake-")
             atexit.register(shutil.rmtree, named, ignore_errors=True)
         context.setCheckpointDir(named)

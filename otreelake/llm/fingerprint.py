@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import pa_schema, small_batches
 
 WINDOW, RUN, VOTES, LEVELS = 64, 64, 16, 1001
+#: Runs of a text looked at together: what long texts need at once. Each has its own running counts, which are whole numbers, so nothing depends on it.
+SEGMENT = 1 << 16
 FILTER_BITS, PER_FILTER, HASHES = 2048, 160, 5
 
 _counts = np.arange(WINDOW + 2, dtype=float)
@@ -57,26 +59,37 @@ def features(data: bytes, ranks: np.ndarray) -> np.ndarray:
     if len(raw) < WINDOW:
         chosen = np.zeros((1, WINDOW), np.uint8)
         chosen[0, : len(raw)] = raw
-    else:
-        level = levels(raw)
+        return hashes(chosen)
+    windows = len(raw) - WINDOW + 1
+    run = min(RUN, windows)
+    runs = windows - run + 1
+    votes = np.zeros(windows, np.uint8)  # RUN at most
+    for start in range(0, runs, SEGMENT):
+        some = min(SEGMENT, runs - start)
+        level = levels(raw[start : start + some + run - 1 + WINDOW - 1])
         n = len(level)
         # Smaller is rarer, then more to the left.
         vote = ranks[level] * n + np.arange(n)
-        span, run = 1, min(RUN, n)
+        span = 1
         while span < run:
             step = min(span, run - span)
             vote = np.minimum(vote[:-step], vote[step:])
             span += step
-        votes = np.bincount(vote % n, minlength=n)
-        places = np.flatnonzero(votes >= min(VOTES, len(vote)))
-        chosen = raw[places[:, None] + np.arange(WINDOW)]
-    h = (chosen.astype(np.uint64) + np.uint64(1)) @ _POWERS
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(29)
+        votes[start : start + n] += np.bincount(vote % n, minlength=n).astype(np.uint8)
+    places = np.flatnonzero(votes >= min(VOTES, runs))
+    found = [hashes(raw[places[at : at + 4096, None] + np.arange(WINDOW)]) for at in range(0, len(places), 4096)]
+    h = np.concatenate([np.zeros(0, np.uint64), *found])
     _, first = np.unique(h, return_index=True)
     return h[np.sort(first)]
 
 
+def hashes(chosen: np.ndarray) -> np.ndarray:
+    """Of windows as rows of bytes."""
+    h = (chosen.astype(np.uint64) + np.uint64(1)) @ _POWERS
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
 def digest(data: bytes, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Filters as rows of bits, and how many features each has."""
     h = features(data, ranks)
@@ -98,13 +111,16 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
         a, b = b, a
     if not len(a[0]):
         return float(not len(b[0]))
-    x, y = a[0].astype(np.float32), b[0].astype(np.float32)
-    common = x @ y.T
-    nx, ny = x.sum(1)[:, None], y.sum(1)[None, :]
-    by_chance = nx * ny / FILTER_BITS
-    most = np.minimum(nx, ny)
-    score = np.clip((common - by_chance) / np.maximum(most - by_chance, 1e-9), 0, 1)
-    return float(np.average(score.max(1), weights=a[1]))
+    y = b[0].astype(np.float32)
+    ny = y.sum(1)[None, :]
+    best = []
+    for at in range(0, len(a[0]), 256):
+        x = a[0][at : at + 256].astype(np.float32)
+        common, nx = x @ y.T, x.sum(1)[:, None]
+        by_chance = nx * ny / FILTER_BITS
+        most = np.minimum(nx, ny)
+        best.append(np.clip((common - by_chance) / np.maximum(most - by_chance, 1e-9), 0, 1).max(1))
+    return float(np.average(np.concatenate(best), weights=a[1]))
 
 
 def level_counts(docs: DataFrame) -> np.ndarray:
@@ -117,8 +133,8 @@ def level_counts(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 raw = np.frombuffer((text or "").encode(), np.uint8)
-                if len(raw) >= WINDOW:
-                    counts += np.bincount(levels(raw), minlength=LEVELS)
+                for at in range(0, len(raw) - WINDOW + 1, SEGMENT):
+                    counts += np.bincount(levels(raw[at : at + SEGMENT + WINDOW - 1]), minlength=LEVELS)
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(counts[seen])], schema=types)
 

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import hashlib
+import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from otreelake.llm import fingerprint as FP
 
@@ -30,6 +32,28 @@ def test_selection_against_brute_force(prose):
     assert len(FP.features(data, ranks)) == len({data[i : i + 64] for i in np.flatnonzero(votes >= 16)})
 
 
+def test_long_texts_in_segments(prose, monkeypatch):
+    data = prose(5, 3000).encode() + b"a" * 500 + prose(6, 500).encode()
+    ranks = FP.rarity(np.bincount(FP.levels(np.frombuffer(data, np.uint8)), minlength=FP.LEVELS))
+    whole = FP.features(data, ranks)
+    for size in (1, 63, 64, 1000, len(data)):
+        monkeypatch.setattr(FP, "SEGMENT", size)
+        assert (FP.features(data[:3000] if size == 1 else data, ranks) == (FP.features(data[:3000], ranks) if size == 1 else whole)).all()
+    monkeypatch.setattr(FP, "SEGMENT", 1 << 16)
+    big = data * 120  # 3 MB
+    tracemalloc.start()
+    FP.digest(big, ranks)
+    assert tracemalloc.get_traced_memory()[1] < 80e6
+    tracemalloc.stop()
+
+
+def test_columns_of_new_names_clash(frame, prose):
+    docs = frame([(k, prose(k, 40), "en", "s") for k in range(8)])
+    for c in ("_id", "block", "tail", "_head", "_before", "edited", "fingerprint", "a.b"):
+        docs = docs.withColumn(c, F.lit("mine"))
+    assert FP.fingerprints(docs).count() == 8
+
+
 def test_likeness(prose):
     ranks = FP.rarity(np.zeros(FP.LEVELS))
     a, b = prose(1, 400), prose(2, 400)
