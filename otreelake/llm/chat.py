@@ -143,7 +143,7 @@ def format_chats(turns: DataFrame, as_json: bool = False, loss_roles: tuple[str,
 
     turns has conv_id, turn, role and text (with as_json: a JSON list of parts). loss holds spans of the formatted string, in code
     points: the bodies of the turns of loss_roles. Nearly every conversation is one segment; a longer one goes on in
-    segment 1 and so on, in the same partition and in order. Turns are ordered by turn (null first), role and text; equal rows
+    segment 1 and so on, in the same partition and in order. Turns are ordered by turn (null first), then role, then their formatted strings; equal rows
     all stay. Null role and text are empty; null conv_id is one conversation. Other columns are not read.
     """
     kind = dict(turns.dtypes)["conv_id"]
@@ -194,6 +194,12 @@ def format_chats(turns: DataFrame, as_json: bool = False, loss_roles: tuple[str,
 
 
 def read_back(formatted: str) -> Iterator[tuple[str, str]]:
-    """(role, text) of every turn of a formatted string; placeholders stay as they are."""
+    """(role, text) of every turn of a formatted string; placeholders stay as they are. An error for a string that is not turns from end to end."""
+    at = 0
     for match in _TURN_RE.finditer(formatted):
+        if match.start() != at:
+            break
+        at = match.end()
         yield unescape(match[1]), unescape(match[2])
+    if at != len(formatted):
+        raise ValueError(f"no turn at character {at}")

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline as P
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from otreelake.llm import neardup, queries
@@ -30,7 +31,7 @@ def test_stages_against_brute_force(spark, frame, prose, tmp_path):
     groups = grouped([(i, t) for i, t, *_ in clean], 5, (80, 100))
     one = [r for r in clean if groups[r[0]][1] == r[0]]
     black = [(i, t and t.replace("token = abcdefgh1234", "[SECRET]"), lang, s) for i, t, lang, s in one]
-    taken, _ = mixed(black)
+    taken, *_ = mixed(black)
     library = Tokenizer.from_file(VOCABULARY)
     want = []
     for i, t, *_ in black:
@@ -40,6 +41,21 @@ def test_stages_against_brute_force(spark, frame, prose, tmp_path):
     assert sorted(got) == sorted(want)
 
 
+def test_odd_tables_run_through(spark, frame, odd_rows, tmp_path):
+    """Null ids, repeated rows, clashing names; and an empty table."""
+    docs = frame(odd_rows)
+    for c in ("_id", "_key", "_source", "toxic", "kept", "size", "taken", "component_id", "spans"):
+        docs = docs.withColumn(c, F.lit("mine"))
+    docs.write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    docs.limit(0).write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    labels = spark.createDataFrame([(3, 1, 0), (4, 1, 0)], "doc_id bigint, quality int, toxic int")
+    for name in "ab":
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+    got = [r["doc_id"] for r in P.run(spark, str(tmp_path / "a")).collect()]
+    assert {i for i, t, *_ in odd_rows if t and t.split()} - set(got) <= {6}  # the second of two equal texts
+    assert None in got and P.run(spark, str(tmp_path / "b")).count() == 0
+
+
 def test_stages_are_registered(spark, frame, odd_rows, tmp_path):
     assert [n for n, _ in P.STAGES] == ["toxicity", "minhash_near_dedup", "secret_scans", "mixing", "bpe"]
     frame(odd_rows).write.parquet(str(tmp_path / "documents.parquet"))
