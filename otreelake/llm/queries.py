@@ -152,6 +152,47 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold=(85, 100))
 
 
+# Parts of the operators' results that SQL can express, over the same whole tables.
+
+
+def llm_quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+QUALITY_COUNTS_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+p AS (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM t WHERE len(w) >= 3),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n FROM p),
+c AS (SELECT r, count(DISTINCT pos)::BIGINT AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS pos FROM g WHERE n >= 2) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+ (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(w) < 50 OR 100 * coalesce(c.n, 0) > 50 * len(w) AS base_failed
+FROM t JOIN l USING (r) LEFT JOIN c USING (r)
+"""
+
+
+def llm_edited_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_fingerprint(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+EDITED_DIGESTS_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(coalesce(text, '')) OVER w, first_value(coalesce(text, '')) OVER (ORDER BY doc_id)) AS following FROM documents WINDOW w AS (ORDER BY doc_id))
+SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(substr(text, 1, (length(text) - length(text) // 2)::BIGINT) || substr(following, 1, (length(text) // 2)::BIGINT)) AS edited_sha256 FROM t
+"""
+
+
+def llm_secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+SECRET_COUNTS_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id,
+ len(list_filter(regexp_extract_all(text, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6))::BIGINT AS n_assign,
+ len(list_filter(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20))::BIGINT AS n_access, len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda x: length(x) >= 24))::BIGINT AS n_hex
+FROM t
+"""
+
 OP10_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
@@ -164,6 +205,6 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, m.b FROM r JOIN m
 SELECT n.doc_id, n.n::BIGINT AS n_shingles, c.component_id, n.doc_id = c.component_id AS kept FROM n JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = n.doc_id
 """
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op2_toxicity": op2_toxicity, "op3_mixing": op3_mixing, "op4_quality": op4_quality, "op5_fingerprint": op5_fingerprint, "op6_chat": op6_chat, "op7_bpe": op7_bpe, "op8_secrets": op8_secrets, "op9_langid": op9_langid, "op10_neardup": op10_neardup}
+QUERIES = {"op1_url_filter": op1_url_filter, "op2_toxicity": op2_toxicity, "op3_mixing": op3_mixing, "op4_quality": op4_quality, "op5_fingerprint": op5_fingerprint, "op6_chat": op6_chat, "op7_bpe": op7_bpe, "op8_secrets": op8_secrets, "op9_langid": op9_langid, "op10_neardup": op10_neardup, "llm_quality_counts": llm_quality_counts, "llm_edited_digests": llm_edited_digests, "llm_secret_counts": llm_secret_counts}
 
-ORACLES = {"op1_url_filter": OP1_SQL, "op3_mixing": OP3_SQL, "op6_chat": OP6_SQL, "op10_neardup": OP10_SQL}
+ORACLES = {"op1_url_filter": OP1_SQL, "op3_mixing": OP3_SQL, "op6_chat": OP6_SQL, "op10_neardup": OP10_SQL, "llm_quality_counts": QUALITY_COUNTS_SQL, "llm_edited_digests": EDITED_DIGESTS_SQL, "llm_secret_counts": SECRET_COUNTS_SQL}

@@ -64,5 +64,5 @@ def test_stages_are_registered(spark, frame, odd_rows, tmp_path):
     for name, stage in P.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
-    assert {k.split("_")[0] for k in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {k.split("_")[0] for k in queries.QUERIES if k.startswith("op")} == {f"op{n}" for n in range(1, 11)}
     assert neardup.LEAST_DEPTH <= neardup.DEPTH
