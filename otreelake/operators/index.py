@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import math
 import time
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,8 @@ class Placed:
     expected: dict[Cube, float]
     new_revision: bool
     rows: int
+    #: Cells of the greatest depth with more rows than the cube size: points that so many rows share. Their rows have few weights, so the expected rows say nothing of them.
+    heavy: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64), compare=False)
 
     @property
     def depth(self) -> int:
@@ -91,128 +94,173 @@ def next_revision(df: DataFrame, transformers: list[tf.Transformer], cube_size:
     return revision, changed, rows
 
 
-def cell_counts(df: DataFrame, revision: Revision, rows: int) -> dict[Cube, int]:
-    """Rows in each cell, deep enough that no cell holds more than the cube size, but where the depth ends."""
+#: Codes and numbers by depth: sorted arrays, for trees of any size without an object for each node.
+Level = tuple[np.ndarray, np.ndarray]
+_NONE: Level = (np.zeros(0, np.int64), np.zeros(0))
+#: Cells that a broadcast table may hold; with more of them the join is a shuffle.
+MOST_BROADCAST = 1_000_000
+
+
+def cell_levels(df: DataFrame, revision: Revision, rows: int) -> dict[int, Level]:
+    """Rows in each cell by depth, deep enough that no cell holds more than the cube size, but where the depth ends. No cell lies in another."""
     d = len(revision.transformers)
     deepest = max_depth(d)
     bits = min(MAX_CELLS_BITS, math.ceil(math.log2(max(2, CELLS_PER_CUBE * rows / revision.cube_size))))
     depth = min(deepest, max(1, -(-bits // d)))
-    counts: dict[Cube, int] = {}
-    open_: list[Cube] | None = None
+    out: dict[int, Level] = {}
+    open_, before = None, 0
     while True:
         placed, own = cells(df, revision, depth)
         found = placed.select(code_column(own, depth).alias("cell"))
         if open_ is not None:
-            full = df.sparkSession.createDataFrame([(c.code,) for c in open_], "full bigint")  # no more than rows / cube size
-            step = depth - open_[0].depth
-            found = found.join(F.broadcast(full), F.shiftright("cell", d * step) == F.col("full"), "left_semi")
-        found = {Cube(d, depth, r["cell"]): r["n"] for r in found.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-        counts.update(found)
-        open_ = [c for c, n in found.items() if n > revision.cube_size]
-        for cube in open_ if depth < deepest else ():
-            del counts[cube]
-        if not open_ or depth == deepest:
-            return counts
+            full = df.sparkSession.createDataFrame(pa.table({"full": open_}))
+            full = F.broadcast(full) if len(open_) <= MOST_BROADCAST else full
+            found = found.join(full, F.shiftright("cell", d * (depth - before)) == F.col("full"), "left_semi")
+        table = found.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).toArrow()  # 2^22 rows at most, as arrays
+        codes, n = table["cell"].to_numpy(), table["n"].to_numpy()
+        order = np.argsort(codes)
+        codes, n = codes[order], n[order]
+        too_full = (n > revision.cube_size) & (depth < deepest)
+        out[depth] = codes[~too_full], n[~too_full].astype(float)
+        if not too_full.any():
+            return out
+        open_, before = codes[too_full], depth
         depth = min(deepest, depth + max(1, -(-8 // d)))
 
 
-def domains(counts: dict[Cube, int]) -> dict[Cube, float]:
-    """Rows in the region of every cell and of all its ancestors."""
-    total: dict[Cube, float] = {}
-    for cell, n in counts.items():
-        cube: Cube | None = cell
-        while cube is not None:
-            total[cube] = total.get(cube, 0) + n
-            cube = cube.parent()
-    return total
+def cell_counts(df: DataFrame, revision: Revision, rows: int) -> dict[Cube, int]:
+    """The same as cubes."""
+    d = len(revision.transformers)
+    return {Cube(d, depth, int(c)): int(n) for depth, level in cell_levels(df, revision, rows).items() for c, n in zip(*level, strict=True)}
+
+
+def summed(*levels: Level) -> Level:
+    """Levels of one depth as one."""
+    codes, at = np.unique(np.concatenate([c for c, _ in levels]), return_inverse=True)
+    return codes, np.bincount(at, np.concatenate([n for _, n in levels]), len(codes)) if len(codes) else np.zeros(0)
+
+
+def upward(levels: dict[int, Level], dimensions: int) -> list[Level]:
+    """From the root on: every node with what lies in it and below."""
+    out: list[Level] = []
+    below = _NONE
+    for depth in range(max(levels, default=0), -1, -1):
+        here = summed(levels.get(depth, _NONE), below)
+        out.append(here)
+        below = here[0] >> dimensions, here[1]
+    return out[::-1]
+
 
+def looked_up(level: Level, codes: np.ndarray, missing: float = 0.0) -> np.ndarray:
+    known, values = level
+    if not len(known):
+        return np.full(len(codes), missing)
+    at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+    return np.where(known[at] == codes, values[at], missing)
 
-def existing_domains(cubes: dict[Cube, tuple[int, int]]) -> dict[Cube, float]:
+
+def existing_domains(cubes: dict[Cube, tuple[int, int]], dimensions: int) -> list[Level]:
     """Rows in the region of every stored cube: its own and those below; what ancestors hold is shared down in proportion."""
-    below: dict[Cube, float] = {}
+    by_depth: dict[int, list[tuple[int, int]]] = {}
     for cube, (_, n) in cubes.items():
-        above: Cube | None = cube
-        while above is not None:
-            below[above] = below.get(above, 0) + n
-            above = above.parent()
-    out: dict[Cube, float] = {}
-    for cube in sorted(below, key=Cube.order_key):
-        parent = cube.parent()
-        if parent is None:
-            out[cube] = below[cube]
-        else:
-            siblings = sum(below.get(c, 0) for c in parent.children())
-            out[cube] = out[parent] * below[cube] / siblings if siblings else 0.0
+        by_depth.setdefault(cube.depth, []).append((cube.code, n))
+    levels = {depth: summed((np.array([c for c, _ in own], np.int64), np.array([n for _, n in own], float))) for depth, own in by_depth.items()}
+    if not levels:
+        return []
+    below = upward(levels, dimensions)
+    out = [below[0]]
+    for codes, n in below[1:]:
+        parents = codes >> dimensions
+        siblings = summed((parents, n))
+        whole = looked_up(siblings, parents)
+        out.append((codes, looked_up(out[-1], parents) * np.divide(n, whole, out=np.zeros_like(n), where=whole > 0)))
     return out
 
 
-def cube_weights(sizes: dict[Cube, float], cube_size: int) -> dict[Cube, int]:
-    """From the root down: a cube of no more rows than the cube size takes all; any other up to its parent's share plus cube size over rows. Nothing lies below a cube that takes all."""
-    shares: dict[Cube, float] = {}
-    for cube in sorted(sizes, key=lambda c: (c.depth, c.code)):
-        parent = cube.parent()
-        above = 0.0 if parent is None else shares.get(parent, 1.0)
-        if above >= 1.0:
-            continue
-        n = sizes[cube]
-        shares[cube] = 1.0 if n * (1 - above) <= cube_size else min(1.0, above + cube_size / n)
-    return {c: MAX_WEIGHT if s >= 1.0 else from_fraction(s) for c, s in shares.items()}
-
-
-def expected_rows(weights: dict[Cube, int], sizes: dict[Cube, float]) -> dict[Cube, float]:
-    """Rows that each cube gets of data with these region sizes."""
-    out = {}
-    for cube, greatest in weights.items():
-        parent = cube.parent()
-        below = to_fraction(weights[parent]) if parent in weights else 0.0
-        out[cube] = max(0.0, to_fraction(greatest) - below) * sizes.get(cube, 0.0)
+def added(a: list[Level], b: list[Level]) -> list[Level]:
+    return [summed(*(x[k] for x in (a, b) if k < len(x))) for k in range(max(len(a), len(b)))]
+
+
+def cube_weights(sizes: list[Level], cube_size: int, dimensions: int) -> list[Level]:
+    """The share of weights of every cube, from the root down: a cube of no more rows than the cube size takes all; any other up to its parent's share plus cube
+    size over rows. Nothing lies below a cube that takes all."""
+    out: list[Level] = []
+    for depth, (codes, n) in enumerate(sizes):
+        above = looked_up(out[-1], codes >> dimensions, 1.0) if depth else np.zeros(len(codes))
+        kept = above < 1.0
+        codes, n, above = codes[kept], n[kept], above[kept]
+        out.append((codes, np.where(n * (1 - above) <= cube_size, 1.0, np.minimum(1.0, above + cube_size / np.maximum(n, 1e-300)))))
+        if not len(codes):
+            break
     return out
 
 
+def indexed(own: list[Level], sizes: list[Level], revision: Revision, new: bool, rows: int) -> Placed:
+    """The cubes of regions of these sizes, and how many rows each gets of data with the regions own."""
+    d = len(revision.transformers)
+    shares = cube_weights(sizes, revision.cube_size, d)
+    weights: dict[Cube, int] = {}
+    expected: dict[Cube, float] = {}
+    for depth, (codes, share) in enumerate(shares):
+        here = looked_up(own[depth], codes) if depth < len(own) else np.zeros(len(codes))
+        for code, s, n in zip(codes.tolist(), share.tolist(), here.tolist(), strict=True):
+            cube = Cube(d, depth, code)
+            greatest = weights[cube] = MAX_WEIGHT if s >= 1.0 else from_fraction(s)
+            below = to_fraction(weights[parent]) if (parent := cube.parent()) is not None else 0.0
+            expected[cube] = max(0.0, to_fraction(greatest) - below) * n
+    return Placed(revision, weights, expected, new, rows)
+
+
 def place(df: DataFrame, transformers: list[tf.Transformer], cube_size: int, stats: dict, current: Revision | None, existing: dict[Cube, tuple[int, int]]) -> Placed | None:
     """How to index df; None if it is empty. existing: the stored cubes of the current revision."""
     revision, new, rows = next_revision(df, transformers, cube_size, stats, current)
-    if not rows:
-        return None
-    own = domains(cell_counts(df, revision, rows))
-    sizes = dict(own)
-    if not new:
-        for cube, n in existing_domains(existing).items():
-            sizes[cube] = sizes.get(cube, 0) + n
-    weights = cube_weights(sizes, revision.cube_size)
-    return Placed(revision, weights, expected_rows(weights, own), new, rows)
+    return placed_in(df, revision, {} if new else existing, new, rows) if rows else None
 
 
 def replace_rows(df: DataFrame, revision: Revision, existing: dict[Cube, tuple[int, int]]) -> Placed | None:
     """For optimising: the cubes of the revision with the weights that all its rows give now."""
     rows = df.count()
-    if not rows:
-        return None
-    own = domains(cell_counts(df, revision, rows))
-    sizes = dict(own)
-    for cube, n in existing_domains(existing).items():
-        sizes[cube] = sizes.get(cube, 0) + n
-    weights = cube_weights(sizes, revision.cube_size)
-    return Placed(revision, weights, expected_rows(weights, own), False, rows)
-
-
-def with_cubes(df: DataFrame, placed: Placed, groups: dict[Cube, int]) -> DataFrame:
-    """df with _weight, _cube (a number in pre-order) and _group (of its file). Only the code and the weight pass through Python, in batches."""
+    return placed_in(df, revision, existing, False, rows) if rows else None
+
+
+def placed_in(df: DataFrame, revision: Revision, existing: dict[Cube, tuple[int, int]], new: bool, rows: int) -> Placed:
+    d = len(revision.transformers)
+    counts = cell_levels(df, revision, rows)
+    own = upward(counts, d)
+    codes, n = counts.get(max_depth(d), _NONE)
+    return replace(indexed(own, added(own, existing_domains(existing, d)), revision, new, rows), heavy=codes[n > revision.cube_size])
+
+
+def heavy_rows(df: DataFrame, placed: Placed) -> dict[int, int]:
+    """Of the rows at heavy points, how many go to each cube (by number): one aggregate over those rows, where there are such points."""
+    if not len(placed.heavy):
+        return {}
+    d = len(placed.revision.transformers)
+    points = df.sparkSession.createDataFrame(pa.table({"_heavy": placed.heavy}))  # rows / cube size at most
+    points = F.broadcast(points) if len(placed.heavy) <= MOST_BROADCAST else points
+    with_cells, own = cells(df, placed.revision, max_depth(d))
+    there = with_cells.withColumn("_code", code_column(own, max_depth(d))).join(points, F.col("_code") == F.col("_heavy"), "left_semi").select(*(f"`{c}`" for c in df.columns))
+    return {r["_cube"]: r["n"] for r in with_cubes(there, placed, dict.fromkeys(placed.weights, 0)).groupBy("_cube").agg(F.count(F.lit(1)).alias("n")).collect()}  # cubes on their paths at most
+
+
+def with_cubes(df: DataFrame, placed: Placed, groups: dict[Cube, int], parts: np.ndarray | None = None) -> DataFrame:
+    """df with _weight, _cube (a number in pre-order), _group (of its file) and _part (of so many that the group has). Only the code and the weight pass through Python, in batches."""
     revision = placed.revision
     d, depth = len(revision.transformers), placed.depth
     table = CubeTable(d, placed.weights)
     group_of = np.array([groups[c] for c in table.cubes], np.int64)
-    sent = df.sparkSession.sparkContext.broadcast((table, group_of))
+    part_of = np.ones(int(group_of.max()) + 1, np.int64) if parts is None else parts
+    sent = df.sparkSession.sparkContext.broadcast((table, group_of, part_of))
 
-    @F.pandas_udf("struct<cube:bigint,file_group:bigint>")
+    @F.pandas_udf("struct<cube:bigint,file_group:bigint,parts:bigint>")
     def assigned(code: pd.Series, own_weight: pd.Series) -> pd.DataFrame:
-        cubes, file_groups = sent.value
+        cubes, file_groups, its_parts = sent.value
         number = cubes.assign(code.to_numpy(np.int64), depth, own_weight.to_numpy(np.int64))
-        return pd.DataFrame({"cube": number, "file_group": file_groups[number]})
+        return pd.DataFrame({"cube": number, "file_group": file_groups[number], "parts": its_parts[file_groups[number]]})
 
     with_cells, own = cells(df, revision, depth)
     weighed = with_cells.withColumns({"_weight": weight(*(f"`{c}`" for c in revision.columns)), "_code": code_column(own, depth)})
-    return weighed.withColumn("_at", assigned("_code", "_weight")).select(*(f"`{c}`" for c in df.columns), "_weight", F.col("_at.cube").alias("_cube"), F.col("_at.file_group").alias("_group"))
+    return weighed.withColumn("_at", assigned("_code", "_weight")).select(*(f"`{c}`" for c in df.columns), "_weight", F.col("_at.cube").alias("_cube"), F.col("_at.file_group").alias("_group"), F.pmod(F.monotonically_increasing_id(), F.col("_at.parts")).alias("_part"))
 
 
 def roll_up(expected: dict[Cube, float], limit: float) -> dict[Cube, Cube]:

@@ -8,13 +8,14 @@ import math
 import time
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cubes import CubeTable
 from ..sources.log import Block, IndexFile, Store
-from .index import Placed, roll_up, with_cubes
+from .index import Placed, heavy_rows, roll_up, with_cubes
 
 #: Columns, from the first on, that get statistics.
 STATS_COLUMNS = 32
@@ -86,15 +87,23 @@ def write_files(df: DataFrame, placed: Placed, store: Store, data_change: bool =
     """df's rows as files below data/, described.
 
     A group of cubes holds half the cube size or more, where there are as many, and is one file: leaves are rarely full, and with the whole size as limit
-    nearly all would lie in their parents' files. Rows are shuffled once, by group. Blocks and statistics come
+    nearly all would lie in their parents' files. A group of more than two cube sizes (rows equal in all indexed columns end in one cube, however many) is dealt out to
+    several files. Rows are shuffled once, by group. Blocks and statistics come
     from the written files, of which the scan needs only the indexed and the described columns, so the input is not computed again."""
     names = roll_up(placed.expected, placed.revision.cube_size / 2)
     number = {name: i for i, name in enumerate(sorted(set(names.values()), key=lambda c: c.order_key()))}
     groups = {cube: number[name] for cube, name in names.items()}
     staging = f"_staging-{uuid.uuid4().hex}"
-    rows = with_cubes(df, placed, groups)
+    expected = np.zeros(len(number))
+    for cube, k in groups.items():
+        expected[k] += placed.expected[cube]
+    cubes = CubeTable(len(placed.revision.transformers), placed.weights).cubes
+    for number_, n in heavy_rows(df, placed).items():
+        expected[groups[cubes[number_]]] += n
+    parts = np.maximum(1, np.ceil(expected / (2 * placed.revision.cube_size))).astype(np.int64)
+    rows = with_cubes(df, placed, groups, parts)
     try:
-        rows.drop("_weight", "_cube").repartition(len(number), "_group").write.partitionBy("_group").parquet(f"{store.root}/{staging}")
+        rows.repartition(int(parts.sum()), "_group", "_part").drop("_weight", "_cube", "_part").write.partitionBy("_group").parquet(f"{store.root}/{staging}")
         return described(df, placed, store, staging, groups, data_change)
     finally:
         store.delete(staging)

@@ -1,0 +1,167 @@
+from __future__ import annotations
+
+import random
+import shutil
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import otreelake
+from otreelake import OTreeTable
+from otreelake.functions import transforms as tf
+from otreelake.functions.cubes import Cube
+from otreelake.functions.weights import MAX_WEIGHT, MIN_WEIGHT, from_fraction, to_fraction
+from otreelake.operators import index
+from otreelake.plans import pruning
+from otreelake.sources import log as lg
+
+
+def random_counts(rng, d):
+    """Rows in cells of several depths, none in another."""
+    counts, pending = {}, [Cube(d)]
+    while pending:
+        cube = pending.pop()
+        if cube.depth < 6 - d and rng.random() < 0.6:
+            pending += cube.children()
+        elif rng.random() < 0.8:
+            counts[cube] = rng.randrange(1, 500)
+    return counts
+
+
+def naive_domains(counts):
+    total = {}
+    for cell, n in counts.items():
+        cube = cell
+        while cube is not None:
+            total[cube] = total.get(cube, 0) + n
+            cube = cube.parent()
+    return total
+
+
+def naive_existing(cubes):
+    below = naive_domains({c: n for c, (_, n) in cubes.items()})
+    out = {}
+    for cube in sorted(below, key=lambda c: c.depth):
+        if cube.parent() is None:
+            out[cube] = float(below[cube])
+        else:
+            out[cube] = out[cube.parent()] * below[cube] / sum(below.get(c, 0) for c in cube.parent().children())
+    return out
+
+
+def naive_weights(sizes, cube_size):
+    shares = {}
+
+    def visit(cube, above):
+        n = sizes.get(cube)
+        if n is None:
+            return
+        shares[cube] = 1.0 if n * (1 - above) <= cube_size else min(1.0, above + cube_size / n)
+        if shares[cube] < 1.0:
+            for c in cube.children():
+                visit(c, shares[cube])
+
+    visit(Cube(next(iter(sizes)).dimensions), 0.0)
+    return {c: MAX_WEIGHT if s >= 1 else from_fraction(s) for c, s in shares.items()}
+
+
+def as_dict(levels, d):
+    return {Cube(d, k, int(c)): float(n) for k, (codes, values) in enumerate(levels) for c, n in zip(codes, values, strict=True)}
+
+
+def as_levels(counts):
+    out = {}
+    for c, n in counts.items():
+        out.setdefault(c.depth, []).append((c.code, n))
+    return {k: (np.array([c for c, _ in sorted(v)], np.int64), np.array([n for _, n in sorted(v)], float)) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("d", [1, 2, 3])
+def test_levels_against_trees_of_cubes(d):
+    rng = random.Random(d)
+    for _ in range(10):
+        counts = random_counts(rng, d)
+        if not counts:
+            continue
+        own = index.upward(as_levels(counts), d)
+        assert as_dict(own, d) == naive_domains(counts)
+        stored = {c: (5, rng.randrange(1, 300)) for c in naive_domains(random_counts(rng, d) or counts) if rng.random() < 0.8 or c.depth == 0}
+        there = index.existing_domains(stored, d)
+        want = naive_existing(stored)
+        got = as_dict(there, d)
+        assert got.keys() == want.keys() and all(got[c] == pytest.approx(want[c]) for c in want)
+        sizes = {c: naive_domains(counts).get(c, 0) + want.get(c, 0) for c in {*naive_domains(counts), *want}}
+        revision = lg.Revision(1, 0, 200, tuple(tf.Transformer(f"c{k}", "linear", "int") for k in range(d)), ())
+        placed = index.indexed(own, index.added(own, there), revision, False, sum(counts.values()))
+        weights = naive_weights(sizes, 200)
+        assert placed.weights.keys() == weights.keys() and all(abs(placed.weights[c] - w) <= 2 for c, w in weights.items())
+        for c, n in placed.expected.items():
+            below = to_fraction(placed.weights[c.parent()]) if c.depth else 0.0
+            assert n == pytest.approx(max(0.0, to_fraction(placed.weights[c]) - below) * naive_domains(counts).get(c, 0))
+    assert index.existing_domains({}, d) == []
+
+
+def test_vectorised_pruning_against_single_cubes():
+    rng = random.Random(5)
+    revision = lg.Revision(1, 0, 10, (tf.Transformer("a", "linear", "int"), tf.Transformer("b", "linear", "int")), (tf.linear(0, 100, "int"), tf.linear(0, 100, "int")))
+    files = {}
+    for k in range(200):
+        blocks = []
+        for _ in range(rng.randrange(1, 5)):
+            depth = rng.randrange(0, 6)
+            least = rng.randrange(MIN_WEIGHT, MAX_WEIGHT)
+            blocks.append(lg.Block(Cube(2, depth, rng.randrange(1 << 2 * depth)).string(), least, rng.randrange(least, MAX_WEIGHT + 1), 1))
+        files[f"f{k}"] = lg.IndexFile(f"f{k}", 1, 1, 1, tuple(blocks))
+    snapshot = lg.Snapshot(revisions={1: revision}, files=files)
+    for _ in range(100):
+        boxes = [tuple(sorted((rng.choice([float("-inf"), rng.random()]), rng.choice([float("inf"), rng.random()])))) for _ in range(4)]
+        boxes = rng.choice([[tuple(boxes[:2])], [tuple(boxes[:2]), tuple(boxes[2:])], [pruning.everywhere(2)], []])
+        weights = rng.choice([pruning.WeightRange(), pruning.weight_range((0.3, 0.6)), pruning.weight_range(0.05)])
+        want = [k for k, f in enumerate(files.values()) if any(weights.allows(b.min_weight, b.max_weight) and any(pruning.in_box(Cube.parse(2, b.cube), x) for x in boxes) for b in f.blocks)]
+        assert pruning.fitting_files(snapshot, revision, boxes, weights).tolist() == want
+
+
+def test_a_cube_of_equal_rows_is_dealt_out(spark, tmp_path):
+    """All rows at one point are one cube at last; it is several files, and each task writes a part."""
+    df = spark.range(6000).select(F.lit(None).cast("int").alias("a"), F.lit(3).alias("b"), F.col("id"))
+    table = otreelake.write_table(df, str(tmp_path / "t"), columns="a,b", cube_size=100)
+    files = table.files()
+    assert len(files) > 10 and max(f.stats["numRecords"] for f in files) < 2000
+    assert table.scan().select("id").distinct().count() == 6000 == sum(b.elements for f in files for b in f.blocks)
+    assert table.scan("b = 3").count() == 6000 and table.scan("a IS NULL AND b = 4").count() == 0
+
+
+def test_states_are_read_on(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    table = otreelake.write_table(spark.range(20).toDF("a"), path, columns="a")
+    first = table.snapshot()
+    assert table.snapshot() is first
+    read = []
+    whole = lg.Store.read
+    monkeypatch.setattr(lg.Store, "read", lambda self, name: read.append(name) or whole(self, name))
+    table.append(spark.range(5).toDF("a"))
+    read.clear()
+    assert len(OTreeTable(spark, path).snapshot().files) > len(first.files) and len(read) <= 1
+    assert table.snapshot(0).version == 0 and len(table.snapshot(0).files) == len(first.files)
+    # another table at the same path
+    shutil.rmtree(path)
+    again = otreelake.write_table(spark.range(7).toDF("b"), path, columns="b")
+    assert again.snapshot().schema.names == ["b"] and again.scan().count() == 7
+
+
+def test_modes_are_judged_in_the_commit(spark, tmp_path):
+    """Two writers in mode error: the second finds the first one's table though it was not there when it began."""
+    path = str(tmp_path / "t")
+    table = OTreeTable(spark, path)
+    inner = table._written
+
+    def late(*args):
+        if not OTreeTable(spark, path).exists():
+            otreelake.write_table(spark.range(3).toDF("a"), path, columns="a")
+        return inner(*args)
+
+    table._written = late
+    with pytest.raises(otreelake.AnalysisError):
+        table.write(spark.range(9).toDF("a"), "error", columns="a")
+    assert OTreeTable(spark, path).scan().count() == 3
