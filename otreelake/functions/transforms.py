@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import AnalysisError
+from .weights import HASHED, hash_of
 
 NUMERIC = ("double", "int", "bigint", "float", "smallint", "tinyint")
 ORDERED = (*NUMERIC, "decimal", "timestamp", "timestamp_ntz", "date")
@@ -158,6 +159,10 @@ class Hash:
         return F.when(c.isNull(), F.lit(self.null_value)).otherwise(F.hash(c)).bitwiseAND(0x7FFFFFFF).cast("double") / 2147483647.0
 
     def point(self, value: object, spark: SparkSession | None = None) -> float:
+        if value is None:
+            return float(self.null_value & 0x7FFFFFFF) / 2147483647.0
+        if self.kind in HASHED:
+            return float(hash_of(value, self.kind) & 0x7FFFFFFF) / 2147483647.0
         spark = spark or SparkSession.active()
         typed = F.lit(value).cast(self.kind if self.kind != "decimal" else "double")
         return spark.range(1).select(self.column(typed)).first()[0]

@@ -137,3 +137,15 @@ def test_compute_quantiles(spark):
     assert tf.compute_histogram(df.union(df), "s", 5)[0] == "k000"
     with pytest.raises(AnalysisError):
         tf.compute_quantiles(df.select(F.current_date().alias("d")), "d")
+
+
+def test_hash_of_literals_is_sparks(spark):
+    rng = random.Random(6)
+    made = {
+        "string": ["", "a", "ab", "abc", "abcd", "ünïcödé", "x" * 37, "🙂"], "int": [0, 1, -1, 2**31 - 1, -(2**31)], "smallint": [5, -5], "tinyint": [7, -128], "bigint": [0, 1 << 60, -(1 << 60), -1],
+        "double": [0.0, -0.0, 1.5, -2.25e300], "float": [0.0, 1.5, -2.25], "date": [dt.date(1970, 1, 1), dt.date(2024, 2, 29), dt.date(1900, 1, 1)],
+    }
+    made["string"] += ["".join(rng.choices("abc é🙂", k=rng.randrange(30))) for _ in range(30)]
+    for kind, values in made.items():
+        df = spark.createDataFrame([(v,) for v in values], f"v {kind}").select(F.hash("v").alias("h"), tf.Hash(kind=kind).column(F.col("v")).alias("x"))
+        assert [(r["h"], r["x"]) for r in df.collect()] == [(W.hash_of(v, kind), tf.Hash(kind=kind).point(v)) for v in values], kind
