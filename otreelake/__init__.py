@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .catalog import Catalog
+from .context import use, using
 from .errors import AnalysisError, CommitConflict, OTreeError
 from .plans.samples import push_samples
 from .session import disable, enable
 from .table import OTreeTable
 
-__all__ = ["AnalysisError", "Catalog", "CommitConflict", "OTreeError", "OTreeTable", "disable", "enable", "push_samples", "read_table", "write_table"]
+__all__ = ["AnalysisError", "Catalog", "CommitConflict", "OTreeError", "OTreeTable", "disable", "enable", "push_samples", "read_table", "use", "using", "write_table"]
 
 
 def read_table(spark: SparkSession, path: str, **scan) -> DataFrame:

@@ -17,7 +17,9 @@ from .plans import statements as st
 from .sources.log import Store
 from .table import OTreeTable, read_compatible
 
-_NAME = re.compile(r"[A-Za-z_][A-Za-z_0-9]*")
+_PART = r"[A-Za-z_][A-Za-z_0-9]*"
+#: A table's name, or a namespace's and a table's.
+_NAME = re.compile(rf"(?:({_PART})\.)?{_PART}")
 
 
 class Catalog:
@@ -32,8 +34,11 @@ class Catalog:
         return json.loads(self.store.read(file)) if self.store.exists(file) else None
 
     def _enter(self, name: str, location: str | None) -> str:
-        if not _NAME.fullmatch(name):
+        match = _NAME.fullmatch(name)
+        if not match:
             raise AnalysisError(f"{name} is no table name")
+        if match[1] and match[1].lower() not in self.namespaces():
+            raise AnalysisError(f"there is no namespace {match[1]}")
         path = location or f"{self.store.root}/{name.lower()}"
         self.store.create(f"_catalog/{name.lower()}.json", json.dumps({"location": path, "external": location is not None}), overwrite=True)
         return path
@@ -50,8 +55,45 @@ class Catalog:
             raise AnalysisError(f"there is no table {name}")
         return OTreeTable.for_path(self.spark, entry["location"])
 
-    def tables(self) -> list[str]:
-        return sorted(n.removesuffix(".json") for n, *_ in self.store.list("_catalog") if n.endswith(".json"))
+    def tables(self, namespace: str | None = None) -> list[str]:
+        """Names of all tables, those in namespaces with theirs; or of those in one."""
+        found = sorted(n.removesuffix(".json") for n, *_ in self.store.list("_catalog") if n.endswith(".json"))
+        return found if namespace is None else [n.partition(".")[2] for n in found if n.startswith(f"{namespace.lower()}.")]
+
+    # -- namespaces -------------------------------------------------------------------------------------------------
+
+    def namespaces(self) -> list[str]:
+        return sorted(n.removesuffix(".json") for n, *_ in self.store.list("_namespaces") if n.endswith(".json"))
+
+    def create_namespace(self, name: str, properties: dict | None = None, if_not_exists: bool = False) -> None:
+        if not re.fullmatch(_PART, name) or name.lower() == st.FORMAT:
+            raise AnalysisError(f"{name} is no namespace's name")
+        if name.lower() in self.namespaces():
+            if if_not_exists:
+                return
+            raise AnalysisError(f"namespace {name} already exists")
+        self.store.create(f"_namespaces/{name.lower()}.json", json.dumps({k: str(v) for k, v in (properties or {}).items()}))
+
+    def namespace_properties(self, name: str) -> dict[str, str]:
+        if name.lower() not in self.namespaces():
+            raise AnalysisError(f"there is no namespace {name}")
+        return json.loads(self.store.read(f"_namespaces/{name.lower()}.json"))
+
+    def alter_namespace(self, name: str, set_: dict | None = None, unset: list[str] | None = None) -> None:
+        held = {k: v for k, v in self.namespace_properties(name).items() if k not in (unset or ())} | {k: str(v) for k, v in (set_ or {}).items()}
+        self.store.create(f"_namespaces/{name.lower()}.json", json.dumps(held), overwrite=True)
+
+    def drop_namespace(self, name: str, if_exists: bool = False, cascade: bool = False) -> None:
+        if name.lower() not in self.namespaces():
+            if if_exists:
+                return
+            raise AnalysisError(f"there is no namespace {name}")
+        inside = self.tables(name)
+        if inside and not cascade:
+            raise AnalysisError(f"namespace {name} has tables {inside}")
+        for t in inside:
+            self.drop(f"{name}.{t}")
+        self.store.delete(f"_namespaces/{name.lower()}.json")
 
     # -- definition -------------------------------------------------------------------------------------------------
 

@@ -26,7 +26,7 @@ class LocalStore:
 
     def list(self, name: str) -> list[tuple[str, int, int]]:
         folder = os.path.join(self.root, name)
-        return [(n, 0, 0) for n in os.listdir(folder)] if os.path.isdir(folder) else []
+        return [(e.name, e.stat().st_size, e.stat().st_mtime_ns) for e in os.scandir(folder)] if os.path.isdir(folder) else []
 
     def read(self, name: str) -> str:
         with open(os.path.join(self.root, name), encoding="utf-8") as f:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import uuid
 
 import pytest
@@ -9,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import otreelake
-from otreelake import AnalysisError, Catalog, OTreeTable
+from otreelake import AnalysisError, Catalog, OTreeTable, visualize
 from otreelake.functions.weights import from_fraction
 from otreelake.plans.catalyst import items
 from otreelake.plans.statements import mentions, parsed
@@ -217,3 +218,54 @@ def test_a_cut_off_checkpoint_is_passed_over(spark, tmp_path):
         assert OTreeTable(spark, table.path).scan().count() == 150
     finally:
         spark.conf.unset("spark.otreelake.log.checkpointInterval")
+
+
+def test_namespaces(spark, catalog):
+    catalog.create_namespace("sales", {"owner": "a"})
+    with pytest.raises(AnalysisError):
+        catalog.create_namespace("sales")
+    with pytest.raises(AnalysisError):
+        catalog.sql("CREATE TABLE nowhere.t (a INT) USING otree")
+    catalog.sql("CREATE TABLE sales.t USING otree OPTIONS (columnsToIndex 'a') AS SELECT id AS a FROM range(20)")
+    catalog.sql("INSERT INTO sales.t SELECT id FROM range(5)")
+    assert catalog.sql("SELECT count(*) FROM sales.t WHERE t.a < 5").first()[0] == 10 and catalog.tables("sales") == ["t"]
+    catalog.sql("ALTER TABLE sales.t RENAME TO sales.u")
+    catalog.alter_namespace("sales", {"x": 1}, ["owner"])
+    assert catalog.namespace_properties("sales") == {"x": "1"} and catalog.tables() == ["sales.u"]
+    with pytest.raises(AnalysisError):
+        catalog.drop_namespace("sales")
+    catalog.drop_namespace("sales", cascade=True)
+    catalog.drop_namespace("sales", if_exists=True)
+    assert catalog.namespaces() == [] == catalog.tables()
+
+
+def test_parts_can_be_replaced(spark, tmp_path):
+    class Selector:
+        def select_columns(self, df, most):
+            return ["b"]
+
+    df = spark.range(50).selectExpr("id AS a", "id % 7 AS b")
+    spark.conf.set("spark.otreelake.index.columnsToIndex.auto", "true")
+    try:
+        with otreelake.using(columns_selector=Selector()):
+            assert otreelake.write_table(df, str(tmp_path / "t")).indexed_columns() == ["b"]
+        assert otreelake.write_table(df, str(tmp_path / "u")).indexed_columns() == ["a", "b"]
+    finally:
+        spark.conf.unset("spark.otreelake.index.columnsToIndex.auto")
+    for wrong in ({"index_manager": Selector()}, {"other": Selector()}):
+        with pytest.raises(TypeError):
+            otreelake.use(**wrong)
+
+
+def test_visualizer(table, tmp_path, capsys):
+    visualize.main([table.path, "-f", "0.1"])
+    told = json.loads(capsys.readouterr().out)
+    assert sum(n["elements"] for n in told["nodes"]) == 3000 and len(told["edges"]) == len(told["nodes"]) - 1
+    info = table.sampling_info(0.1).first().asDict()
+    assert {k: v for k, v in told["sample"].items() if k != "fraction"} == info
+    page = tmp_path / "tree.html"
+    visualize.main([table.path, "-r", "1", "-f", "0.1", "-o", str(page)])
+    text = page.read_text()
+    assert text.count("<circle") == len(told["nodes"]) and text.count('class="hit"') == sum(n["sampled"] for n in told["nodes"])
+    with pytest.raises(SystemExit):
+        visualize.main([str(tmp_path / "none")])
