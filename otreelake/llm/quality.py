@@ -17,8 +17,8 @@ from .common import WORD
 
 #: Buckets of the hashed n-grams.
 BUCKETS = 1 << 16
-#: Documents labelled good whose n-grams make the trusted multinomial, by hash of the id, at most.
-TRUSTED = 100_000
+#: Ids of documents labelled good that are broadcast at most; more of them are joined by a shuffle, with the same counts.
+MOST_BROADCAST = 1_000_000
 #: Documents' n-grams that a bucket is taken to have besides those counted: little evidence says little.
 PRIOR = 5.0
 #: A document is kept from this mean log ratio on.
@@ -98,10 +98,11 @@ def ngrams(words: Column) -> Column:
     return let(words, lambda w: F.concat(F.transform(w, lambda x: bucket(x)), pairs(w)))
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> DataFrame:
-    """One row, one string: for each bucket the log of the n-gram's share in trusted documents over its share in all, to 5 places."""
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted)
-    marked = docs.select("doc_id", "text").join(F.broadcast(good.withColumn("good", F.lit(1))), "doc_id", "left")
+def log_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row, one string: for each bucket the log of the n-gram's share in trusted documents (all that are labelled good) over its share in all, to 5 places."""
+    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct().withColumn("good", F.lit(1))
+    good = F.broadcast(good) if good.count() <= MOST_BROADCAST else good
+    marked = docs.select("doc_id", "text").join(good, "doc_id", "left")
     grams = marked.select(F.coalesce("good", F.lit(0)).alias("good"), F.explode(ngrams(hashes(words_of(F.col("text"))))).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0, ["n", "good"])

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import Counter
@@ -45,6 +46,40 @@ def test_junk_scores_lower(frame, prose, labels):
     assert got[100]["kept"] and got[100]["score"] > got[101]["score"] and not got[101]["kept"]
 
 
+def plain_scores(spark, rows, good, monkeypatch):
+    """The ratio by its definition, over every document; only the hash is Spark's."""
+    texts = {i: WORD.findall(t or "") for i, t, *_ in rows}
+    grams = sorted({(w,) for ws in texts.values() for w in ws} | {p for ws in texts.values() for p in zip(ws, ws[1:])})
+    df = spark.createDataFrame([(g[0], g[1] if len(g) > 1 else None) for g in grams], "a string, b string").withColumn("k", F.monotonically_increasing_id())
+    one, two = F.xxhash64("a"), F.xxhash64("b")
+    found = df.select("a", "b", F.when(F.col("b").isNull(), Q.bucket(one)).otherwise(Q.bucket(one, two)).alias("bucket")).collect()
+    bucket = {(r["a"],) if r["b"] is None else (r["a"], r["b"]): r["bucket"] for r in found}
+    of = {i: [bucket[g] for g in [*((w,) for w in ws), *zip(ws, ws[1:])]] for i, ws in texts.items()}
+    every, trusted = Counter(b for bs in of.values() for b in bs), Counter(b for i, bs in of.items() if i in good for b in bs)
+    share = sum(trusted.values()) / sum(every.values())
+    return {i: sum(round(math.log((trusted[b] + Q.PRIOR) / (every[b] * share + Q.PRIOR)), 5) for b in bs) / len(bs) if bs else 0.0 for i, bs in of.items()}
+
+
+@pytest.mark.parametrize("most", [Q.MOST_BROADCAST, 0])
+def test_score_and_verdict_against_brute_force(spark, frame, prose, labels, monkeypatch, most):
+    monkeypatch.setattr(Q, "MOST_BROADCAST", most)
+    rows = [(k, prose(k % 17, 50 + k) if k % 3 else f"zz{k} " * 60, "en", "s") for k in range(60)] + [(200, None, "en", "s"), (201, "word", "en", "s")]
+    want = plain_scores(spark, rows, {k for k in range(40) if k % 2 == 0}, monkeypatch)
+    for r in Q.quality(frame(rows), labels).collect():
+        assert r["score"] == pytest.approx(want[r["doc_id"]], abs=1e-6), r
+        assert r["kept"] == (not r["base_failed"] and r["score"] >= Q.LEAST_SCORE)
+
+
+def test_many_repeated_windows_and_few_agree(frame, labels, monkeypatch):
+    """Both ways of finding the places of repeated windows, on both sides of the number where one takes over."""
+    rng = random.Random(3)
+    rows = [(k, " ".join(str(rng.randrange(5 + k)) for _ in range(30 * k)), "en", "s") for k in range(1, 25)]
+    want = {i: brute(t)[4] for i, t, *_ in rows}
+    for few in (0, 3, 64, 10_000):
+        monkeypatch.setattr(Q, "FEW", few)
+        assert {r["doc_id"]: r["n_repeat_words"] for r in Q.quality(frame(rows), labels).collect()} == want
+
+
 def test_no_python_in_the_plan(frame, prose, labels):
     plan = Q.quality(frame([(1, prose(1, 60), "en", "s")]).withColumn("score", F.lit("clash")), labels)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
