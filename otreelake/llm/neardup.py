@@ -348,10 +348,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
 
     Documents are linked if their sets' intersection is threshold (a fraction) of their union or more; component_id is the smallest doc_id that can be
     reached over links, and kept tells that it is the row's own. Texts that are null or have no words have no shingles and link with
-    nothing. Rows with one doc_id are one document, compared by its first text in order. Rows with a null doc_id are in no group: their component_id is
+    nothing. Rows with one doc_id are one document, compared by the least of its texts. Rows with a null doc_id are in no group: their component_id is
     null, and they are kept. An empty table gives an empty one; other columns are not read.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
+    repeated = cut(keyed.where("_id IS NOT NULL").groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id"))
+    if not repeated.head(1):
+        return grouped(keyed, words, threshold)
+    rows = keyed.join(repeated, "_id", "left_semi")
+    found = cut(grouped(keyed.join(repeated, "_id", "left_anti").union(rows.groupBy("_id").agg(F.min("text").alias("text"))), words, threshold))
+    each = rows.select("_id").join(found, F.col("_id") == F.col("doc_id")).select(*found.columns)
+    return found.join(repeated, F.col("doc_id") == F.col("_id"), "left_anti").union(each)
+
+
+def grouped(keyed: DataFrame, words: int, threshold: tuple[int, int]) -> DataFrame:
+    """The same for _id and text, of which no id but null comes twice."""
     signed = cut(signatures(keyed, words))
     n = signed.count()
     classes = cut(signed.where("set_key IS NOT NULL AND _id IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("_id", "n_shingles", "keys", "sketch", "bits")).alias("s")).select("set_key", "s.*"), n)
@@ -359,7 +370,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
 
     def check(pairs: DataFrame) -> DataFrame:
         needed = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-        texts = only_needed(keyed, cut(needed, n)).groupBy("_id").agg(F.min("text").alias("text"))
+        texts = only_needed(keyed, cut(needed, n))
         return cut(confirmed(pairs, cut(texts, n), words, threshold), pairs.count(), 2000)
 
     found = cut(forest(classes, plausible).groupBy("_id", "other").agg(F.max("likeness").alias("likeness")), n)
@@ -389,6 +400,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
 
 
 def keep_one(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
-    """docs without the documents that another one of their group stands for; rows that stay are unchanged."""
-    gone = near_duplicates(docs, words, threshold).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the documents that another one of their group stands for; rows that stay are unchanged, whatever their columns are called."""
+    gone = near_duplicates(docs, words, threshold).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")

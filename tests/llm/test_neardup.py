@@ -170,6 +170,19 @@ def test_odd_rows_and_empty_table(frame, odd_rows):
     assert N.near_duplicates(docs.limit(0), 3, (85, 100)).count() == 0
 
 
+def test_repeated_ids_are_one_document(frame, prose):
+    """By the least of their texts; each row has its document's group."""
+    a, b = sorted([prose(1, 60), prose(2, 60)])
+    rows = [(7, b), (7, a), (7, a), (3, b), (9, a), (None, a), (None, a), (8, None), (8, a)]
+    got = [(r["doc_id"], r["component_id"]) for r in N.near_duplicates(frame([(i, t, None, None) for i, t in rows])).collect()]
+    assert sorted(got, key=str) == sorted([(7, 7)] * 3 + [(3, 3), (9, 7), (None, None), (None, None), (8, 7), (8, 7)], key=str)
+    docs = frame([(i, t, None, None) for i, t in rows])
+    for c in ("a.b", "_id", "gone", "component_id", "kept"):
+        docs = docs.withColumn(c, F.lit("mine"))
+    kept = N.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "7", "7", "7", "None", "None"]
+
+
 def test_keep_one(frame, corpus, odd_rows):
     docs = frame([(i, t, None, None) for i, t in corpus]).withColumn("kept", F.lit("mine"))
     kept = N.keep_one(docs)
