@@ -22,6 +22,7 @@ from .functions.cubes import Cube
 from .functions.weights import from_fraction, to_fraction, weight
 from .operators.columns import select_columns
 from .operators.index import cell_counts, next_revision
+from .operators.metrics import size_stats
 from .plans.catalyst import items
 from .plans.samples import push_samples
 from .session import disable, enable
@@ -672,3 +673,139 @@ def otree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = "{} BETWEEN 100 AND 4000"
     joined = lineitem(spark, sf_dir).scan(where.format("l_orderkey")).join(orders.scan(where.format("o_orderkey")), F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("qty"))
+
+
+# -- what is Spark's own, over indexed tables -------------------------------------------------------------------------
+
+
+def lines_and_orders(spark: SparkSession, sf_dir: str) -> Catalog:
+    c = catalog(spark)
+    c.create("lines", location=lineitem(spark, sf_dir).path)
+    c.create("orders", location=built(spark, sf_dir, "orders", "o_orderkey,o_custkey", 2000).path)
+    return c
+
+
+_OUTER = "SELECT count(*) AS n, count(l_orderkey) AS lines, count(o_orderkey) AS orders FROM (SELECT * FROM {lines} WHERE l_orderkey < 2000) {kind} JOIN (SELECT * FROM orders WHERE o_orderkey BETWEEN 1000 AND 3000) ON l_orderkey = o_orderkey"
+_SEMI = "SELECT count(*) AS n, count(*) AS lines, 0 AS orders FROM {lines} {kind} JOIN (SELECT * FROM orders WHERE o_orderkey BETWEEN 1000 AND 3000) ON l_orderkey = o_orderkey"
+
+
+def all_joins(lines: str, semi: str, anti: str, number: str) -> str:
+    parts = [f"SELECT '{k}' AS kind, n, lines, orders FROM ({_OUTER.format(lines=lines, kind=k)})" for k in ("LEFT", "RIGHT", "FULL")]
+    parts += [f"SELECT '{k}' AS kind, n, lines, CAST(orders AS {number}) AS orders FROM ({_SEMI.format(lines=lines, kind=k)})" for k in (semi, anti)]
+    return " UNION ALL ".join(parts)
+
+
+@query(all_joins("lineitem", "SEMI", "ANTI", "BIGINT"))
+def otree_other_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines_and_orders(spark, sf_dir).sql(all_joins("lines", "LEFT SEMI", "LEFT ANTI", "BIGINT"))
+    return found.withColumn("kind", F.regexp_replace("kind", "^LEFT (SEMI|ANTI)$", "$1"))
+
+
+_SETS = "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS qty FROM {} WHERE l_partkey < 1000 GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())"
+
+
+@query(_SETS.format("lineitem"))
+def otree_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines_and_orders(spark, sf_dir).sql(_SETS.format("lines"))
+
+
+_WINDOWS = "SELECT l_orderkey, l_linenumber, row_number() OVER w AS place, sum(l_quantity) OVER w AS upto, lag(l_partkey) OVER w AS before FROM {} WHERE l_orderkey BETWEEN 500 AND 1500 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)"
+
+
+@query(_WINDOWS.format("lineitem"))
+def otree_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines_and_orders(spark, sf_dir).sql(_WINDOWS.format("lines"))
+
+
+_SCALAR = "SELECT c_custkey, upper(substring(c_name, 1, 8)) AS name, length(c_mktsegment) AS n, round(c_acctbal / 7, 2) AS part, abs(c_acctbal) AS size, concat(c_mktsegment, '-', CAST(c_nationkey AS VARCHAR(20))) AS place, CASE WHEN c_acctbal < 0 THEN 'owes' ELSE 'has' END AS state FROM {} WHERE c_custkey < 800"
+
+
+@query(_SCALAR.format("customer"))
+def otree_scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = catalog(spark)
+    c.create("people", location=built(spark, sf_dir, "customer", "c_custkey,c_acctbal", 200).path)
+    return c.sql(_SCALAR.format("people"))
+
+
+@query("SELECT * FROM (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_orderkey < 3000 INTERSECT SELECT l_suppkey FROM lineitem WHERE l_orderkey > 9000) EXCEPT SELECT l_suppkey FROM lineitem WHERE l_partkey BETWEEN 100 AND 101")
+def otree_set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = lineitem(spark, sf_dir)
+    keys = lambda where: table.scan(where).select("l_suppkey")
+    return keys("l_orderkey < 3000").intersect(keys("l_orderkey > 9000")).subtract(keys("l_partkey BETWEEN 100 AND 101"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_orderkey < 5000 ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 25")
+def otree_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineitem(spark, sf_dir).frame().where("l_orderkey < 5000").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber").limit(25).select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@query("SELECT corr(l_quantity, l_extendedprice) AS r, covar_pop(l_quantity, l_discount) AS c FROM lineitem WHERE l_partkey > 500")
+def otree_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineitem(spark, sf_dir).scan("l_partkey > 500").agg(F.corr("l_quantity", "l_extendedprice").alias("r"), F.covar_pop("l_quantity", "l_discount").alias("c"))
+
+
+@query("SELECT count(l_quantity) AS n, trunc(avg(l_quantity))::BIGINT AS mean, trunc(stddev(l_quantity))::BIGINT AS spread, unnest([0, 1, 2, 3, 4]) AS k, unnest(quantile_disc(l_quantity, [0.0, 0.25, 0.5, 0.75, 1.0])) AS quartile FROM lineitem")
+def otree_size_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, means, standard deviations and approximate percentiles as the index metrics take them of blocks, here of a column that SQL knows."""
+    found = size_stats(lineitem(spark, sf_dir).scan(), "l_quantity")
+    return spark.createDataFrame([(found["count"], found["avg"], found["stddev"], k, float(q)) for k, q in enumerate(found["quartiles"])], "n bigint, mean bigint, spread bigint, k int, quartile double")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_name >= 'm' AND p_name < 'q' AND p_size > 10")
+def otree_filter_string_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The histogram policy of earlier tables, with its bins of letters; then renamed as an upgrade does."""
+    table = fresh(spark)
+    table.write(source(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), columns="p_name:histogram,p_size", cube_size=200)
+    if not table.upgrade():
+        raise AnalysisError("nothing was upgraded")
+    return table.scan("p_name >= 'm' AND p_name < 'q' AND p_size > 10", columns=["p_partkey", "p_name"])
+
+
+@query("SELECT (SELECT count(*) FROM region) AS rows_after, 0 AS rows_before, 2 AS versions, (SELECT count(*) FROM region WHERE r_regionkey < 2) AS found")
+def otree_empty_then_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A created table without files, then with them; read by name, by path and by the short form."""
+    df, table = source(spark, sf_dir, "region"), fresh(spark)
+    table.create(df.schema, {"columnsToIndex": "r_regionkey", "cubeSize": "3"})
+    before = table.frame().where("r_regionkey < 2").count()
+    table.append(df)
+    found = table.scan("r_regionkey < 2").count()
+    return table.frame().agg(F.count(F.lit(1)).alias("rows_after"), F.lit(before).alias("rows_before"), F.lit(len(table.history())).alias("versions"), F.lit(found).cast("bigint").alias("found"))
+
+
+@query("SELECT count(*) * 3 AS n, 3 AS versions FROM nation")
+def otree_conflict_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A writer that finds its version taken tries again on the newest state; no rows are lost and none come twice."""
+    df, table = source(spark, sf_dir, "nation"), fresh(spark)
+    table.write(df, columns="n_nationkey", cube_size=10)
+    inner, raced = table._written, []
+
+    def late(*arguments):
+        made = inner(*arguments)
+        if not raced:
+            raced.append(OTreeTable(spark, table.path).append(df))
+        return made
+
+    table._written = late
+    table.append(df)
+    return OTreeTable(spark, table.path).scan().agg(F.count(F.lit(1)).alias("n"), F.lit(len(table.history())).alias("versions"))
+
+
+@query("SELECT -5::BIGINT AS d, 12345678901.25::DOUBLE AS e, 1 AS same UNION ALL SELECT n_nationkey::BIGINT, n_nationkey * 0.5, 1 FROM nation WHERE n_nationkey > 20")
+def otree_store_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """INSERT under ANSI, STRICT (which takes what widens and refuses what narrows) and LEGACY (where what cannot be cast is null)."""
+    table, before = fresh(spark), spark.conf.get("spark.sql.storeAssignmentPolicy", "ANSI")
+    table.create("d bigint, e double", {"columnsToIndex": "d"})
+    nations = source(spark, sf_dir, "nation")
+    refused = 0
+    try:
+        spark.conf.set("spark.sql.storeAssignmentPolicy", "ANSI")
+        table.insert(nations.where("n_nationkey > 20").select("n_nationkey", F.col("n_nationkey") * 0.5))
+        spark.conf.set("spark.sql.storeAssignmentPolicy", "STRICT")
+        table.insert(spark.range(1).select(F.lit(-5).cast("int"), F.lit(12345678901.25)))
+        try:
+            table.insert(spark.range(1).select(F.lit(2.5), F.lit(1.0)))
+        except AnalysisError:
+            refused += 1
+    finally:
+        spark.conf.set("spark.sql.storeAssignmentPolicy", before)
+    return table.scan().withColumn("same", F.lit(refused))
