@@ -597,6 +597,47 @@ def otree_index_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(m.elements, m.dimensions, m.desired_cube_size, m.max_fanout)], "elements bigint, dimensions int, cube_size int, max_fanout int")
 
 
+#: The tree of orders on one column, computed in SQL: rows in each half, quarter and so on, shares of weights from the root down, each row's first cube that takes its weight.
+_TREE = """, whole AS (SELECT *, (o_orderkey - min(o_orderkey) OVER ())::DOUBLE / (max(o_orderkey) OVER () - min(o_orderkey) OVER ()) AS x FROM weighed),
+cells AS (SELECT o_orderkey, w, k, least(floor(x * pow(2, k)), pow(2, k) - 1)::BIGINT AS c FROM whole, range(12) t(k)),
+dom AS (SELECT k, c, count(*) AS n FROM cells GROUP BY k, c),
+tree(k, c, share) AS (SELECT k, c, CASE WHEN n <= 1000 THEN 1.0::DOUBLE ELSE 1000.0::DOUBLE / n END FROM dom WHERE k = 0
+ UNION ALL SELECT d.k, d.c, CASE WHEN d.n * (1 - t.share) <= 1000 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, t.share + 1000.0::DOUBLE / d.n) END FROM tree t JOIN dom d ON d.k = t.k + 1 AND d.c // 2 = t.c WHERE t.share < 1),
+greatest_of AS (SELECT k, c, CASE WHEN share >= 1 THEN 2147483647 ELSE trunc(share * 4294967295.0::DOUBLE - 2147483648)::BIGINT END AS most FROM tree),
+placed AS (SELECT o_orderkey, min(r.k) AS k, arg_min(r.c, r.k) AS c FROM cells r JOIN greatest_of g ON g.k = r.k AND g.c = r.c AND r.w <= g.most GROUP BY o_orderkey),
+cube AS (SELECT k, c, count(*) AS n FROM placed GROUP BY k, c),
+kinds AS (SELECT *, EXISTS (SELECT 1 FROM cube b WHERE b.k > a.k AND b.c >> (b.k - a.k) = a.c) AS has_below FROM cube a) """
+_LEVELS = "WITH RECURSIVE" + murmur_sql("orders", ["o_orderkey"], "KEEP", "true").split("WITH", 1)[1].split(" SELECT KEEP")[0] + _TREE
+
+
+def orders_tree(spark: SparkSession, sf_dir: str) -> OTreeTable:
+    return built(spark, sf_dir, "orders", "o_orderkey", 1000)
+
+
+@query(_LEVELS + "SELECT CASE WHEN has_below THEN 'inner' ELSE 'leaf' END AS kind, k::INTEGER AS depth, count(*) AS cubes, avg(n) AS mean FROM kinds GROUP BY 1, 2")
+def otree_index_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = orders_tree(spark, sf_dir).metrics()
+    parts = [df.select(F.lit(kind).alias("kind"), "depth", F.col("cubeCount").alias("cubes"), F.col("avgElements").alias("mean")) for kind, df in (("inner", m.inner_levels), ("leaf", m.leaf_levels))]
+    return parts[0].union(parts[1])
+
+
+@query(_LEVELS + """SELECT sum(n)::BIGINT AS elements, count(*) AS cubes, max(k)::INTEGER + 1 AS height, CASE WHEN count(*) FILTER (has_below) = 0 THEN 0.0::DOUBLE ELSE trunc((count(*) - 1)::DOUBLE / count(*) FILTER (has_below) * 100) / 100 END AS fanout,
+ trunc(avg(n))::BIGINT AS mean, trunc(stddev(n))::BIGINT AS spread, quantile_disc(n, 0.0)::BIGINT AS q0, quantile_disc(n, 0.25)::BIGINT AS q1, quantile_disc(n, 0.5)::BIGINT AS q2, quantile_disc(n, 0.75)::BIGINT AS q3, quantile_disc(n, 1.0)::BIGINT AS q4 FROM kinds""")
+def otree_cube_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Height, fan-out and sizes of the cubes, from the metrics of the stored index."""
+    m = orders_tree(spark, sf_dir).metrics()
+    row = (m.elements, m.cubes["count"], m.height, m.fanout, m.cubes["avg"], m.cubes["stddev"], *map(int, m.cubes["quartiles"]))
+    return spark.createDataFrame([row], "elements bigint, cubes bigint, height int, fanout double, mean bigint, spread bigint, q0 bigint, q1 bigint, q2 bigint, q3 bigint, q4 bigint")
+
+
+@query(_LEVELS + "SELECT k::INTEGER AS depth, c AS place, count(*) AS n, min(w)::INTEGER AS least, g.most::INTEGER AS greatest FROM placed JOIN cells USING (o_orderkey, k, c) JOIN greatest_of g USING (k, c) GROUP BY ALL")
+def otree_stored_cubes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stored cube: its place at its depth, its rows, and its range of weights."""
+    found = orders_tree(spark, sf_dir).blocks().groupBy("cubeId", "depth").agg(F.sum("blockElementCount").alias("n"), F.min("minWeight").alias("least"), F.min("maxWeight").alias("greatest"))
+    place = F.coalesce(F.aggregate(F.transform(F.filter(F.split("cubeId", ""), lambda x: x != ""), lambda x: (x == "g").cast("bigint")), F.lit(0).cast("bigint"), lambda a, b: a * 2 + b), F.lit(0))
+    return found.select("depth", place.cast("bigint").alias("place"), "n", "least", "greatest")
+
+
 @query("SELECT count(*) AS n, true AS parents_stored FROM lineitem")
 def otree_denormalized_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lineitem(spark, sf_dir).blocks()
