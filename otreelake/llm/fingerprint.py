@@ -12,6 +12,7 @@ Entropies come from running byte counts in integer arithmetic, so equal texts ha
 from __future__ import annotations
 
 import base64
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -151,41 +152,49 @@ def rarity(counts: np.ndarray) -> np.ndarray:
     return ranks
 
 
-def id_blocks(docs: DataFrame) -> tuple[Column, DataFrame, int]:
-    """Blocks of neighbouring ids, none much larger than others: the block of `_id`, the smallest id of every block with the block before it, and how many there are.
+def id_blocks(docs: DataFrame) -> tuple[Column, DataFrame]:
+    """Blocks of neighbours in the order of `_id`, then `_h`, none much larger than others: the block of a row, and of every block the first place with the block before it.
 
-    The bounds are percentiles of the ids; a block between two bounds is cut into equal stretches where the table is large. Only the
-    blocks' first ids reach the driver."""
+    The bounds are percentiles of the ids; a block between two bounds is cut into equal stretches where the table is large. An id that several percentiles fall on has many rows; they
+    are cut into as many slices by their hashes. Only the blocks' first places reach the driver, for 2^18 blocks of different ids at most."""
     ids = docs.select("_id")
     n = ids.count()
     coarse = min(1024, max(1, n // 200))
-    fine = max(1, n // (1024 * 20_000))
-    bounds = sorted(set(ids.agg(F.percentile_approx("_id", [k / coarse for k in range(coarse + 1)], 10 * coarse)).first()[0] or [0]))
+    fine = max(1, min(256, n // (1024 * 20_000)))
+    percentiles = ids.agg(F.percentile_approx("_id", [k / coarse for k in range(coarse + 1)], 10 * coarse)).first()[0] or [0]
+    bounds = sorted(set(percentiles))
+    often = {i: k for i, k in Counter(percentiles).items() if k > 1}
     listed = F.lit(bounds).cast("array<bigint>")
-    place = F.greatest(F.lit(1), F.least(F.size(F.filter(listed, lambda b: b <= F.col("_id"))), F.lit(max(1, len(bounds) - 1))))
+    place = F.greatest(F.lit(1), F.least(F.size(F.filter(listed, lambda b: b <= F.col("_id"))), F.lit(len(bounds))))
     low, high = F.element_at(listed, place).cast("double"), F.coalesce(F.get(listed, place), F.element_at(listed, place) + 1).cast("double")
     inside = F.least(F.greatest(F.floor((F.col("_id") - low) / F.greatest(high - low, F.lit(1.0)) * fine), F.lit(0)), F.lit(fine - 1))
-    block = (place * fine + inside).cast("bigint")
-    firsts = [(r["block"], r["first"]) for r in docs.select("_id", block.alias("block")).groupBy("block").agg(F.min("_id").alias("first")).orderBy("block").collect()]
-    heads = [(first, firsts[k - 1][0]) for k, (_, first) in enumerate(firsts)]
-    return block, docs.sparkSession.createDataFrame(heads, "_head bigint, _before bigint"), len(firsts)
+    slices = max(often.values(), default=0)
+    block = place * fine + inside
+    if often:
+        count = F.element_at(F.create_map(*(F.lit(x).cast("bigint") for pair in often.items() for x in pair)), F.col("_id"))
+        part = F.least(F.floor((F.col("_h").cast("double") + 2.0**63) / 2.0**64 * count), count - 1)
+        block = block * (slices + 1) + F.coalesce(part, F.lit(slices))  # other ids come after the one that the block begins with
+    block = block.cast("bigint")
+    firsts = [(r["block"], r["first"]["_id"], r["first"]["_h"]) for r in docs.select("_id", "_h", block.alias("block")).groupBy("block").agg(F.min(F.struct("_id", "_h")).alias("first")).orderBy("block").collect()]
+    heads = [(i, h, firsts[k - 1][0]) for k, (_, i, h) in enumerate(firsts)]
+    return block, docs.sparkSession.createDataFrame(heads, "_head bigint, _hash bigint, _before bigint")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, text digest, and with the next document: the edited text, its digest, and two likenesses.
 
-    The next document is that with the next higher doc_id (after the last: the first; a null id comes before all; equal ids go by
-    text). The edited text has its last half of code points replaced by the first as many (or all) of the next. Null texts are empty.
+    The next document is that with the next higher doc_id (after the last: the first; a null id comes before all; equal ids go by a
+    hash of the text, then by text). The edited text has its last half of code points replaced by the first as many (or all) of the next. Null texts are empty.
     Repeated rows stay; other columns are not read; an empty table gives an empty one.
 
     Each text is shuffled once, to the block of its id; the first of a block also goes to the block before, where it only serves as the next.
     """
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_h", F.xxhash64("text"))
     ranks = rarity(level_counts(keyed))
-    block, heads, _ = id_blocks(keyed)
+    block, heads = id_blocks(keyed)
     mine = F.struct(block.alias("block"), F.lit(False).alias("tail"))
     to = F.when(F.col("_before").isNull(), F.array(mine)).otherwise(F.array(mine, F.struct(F.col("_before").alias("block"), F.lit(True).alias("tail"))))
-    placed = keyed.join(F.broadcast(heads), F.col("_id") == F.col("_head"), "left").select("_id", "doc_id", "text", F.explode(to).alias("to")).select("to.block", "to.tail", "_id", "doc_id", "text")
+    placed = keyed.join(F.broadcast(heads), (F.col("_id") == F.col("_head")) & (F.col("_h") == F.col("_hash")), "left").select("_id", "_h", "doc_id", "text", F.explode(to).alias("to")).select("to.block", "to.tail", "_id", "_h", "doc_id", "text")
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, text string, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     types = pa_schema(docs.sparkSession, schema)
@@ -195,7 +204,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         held: tuple | None = None  # block, id, text and digest of the row that waits for its next
         for batch in batches:
             rows = []
-            for block, tail, _, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for block, tail, _, _, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if tail and (held is None or held[0] != block):
                     continue  # equal smallest ids: the first of them was the next
                 own = digest(text.encode(), ranks)
@@ -208,4 +217,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), types, strict=True)], schema=types)
 
-    return placed.repartition("block").sortWithinPartitions("block", "tail", "_id", "text").mapInArrow(run, schema)
+    return placed.repartition("block").sortWithinPartitions("block", "tail", "_id", "_h", "text").mapInArrow(run, schema)

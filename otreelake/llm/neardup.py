@@ -38,6 +38,8 @@ LEADERS = (3, 5, 8)
 CHUNK = 50_000
 #: Classes of a region that are compared with as many others at once.
 BLOCK = 1024
+#: Rows of a table of regions that is broadcast.
+MOST_BROADCAST = 250_000
 #: Bits of a set's parity bitmap.
 PARITY = 2048
 #: Bits of the bitmap of ids.
@@ -199,6 +201,11 @@ def forest(classes: DataFrame, plausible: float) -> DataFrame:
     return rows.repartitionByRange("tree", "key", "_id").sortWithinPartitions("tree", "key", "_id").mapInArrow(run, schema)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df, broadcast if it has no more than `MOST_BROADCAST` rows (of a few numbers each); then a region of any size stays where it is. Beyond, Spark's own skew join splits it."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
 def in_regions(classes: DataFrame, threshold: tuple[int, int], rows: int) -> DataFrame:
     """All pairs (a, b, ca, cb, likeness) of classes that agree in `LEAST_DEPTH` minima of a tree, are in different components ca and cb, and
     may be links: the likeness, an upper bound, reaches the threshold. A pair is there once for each such tree.
@@ -207,12 +214,12 @@ def in_regions(classes: DataFrame, threshold: tuple[int, int], rows: int) -> Dat
     and those of the largest component, which do not meet among themselves."""
     width, depth = 2 * DEPTH, 2 * LEAST_DEPTH
     regions = classes.select("_id", "component", F.expr(f"explode(transform(sequence(0, {TREES - 1}), t -> xxhash64(t, substring(keys, t * {width} + 1, {depth}))))").alias("region"))
-    mixed_ones = regions.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("region")
-    members = cut(regions.join(mixed_ones, "region", "left_semi"), rows)
+    mixed_ones = cut(regions.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("region"), rows)
+    members = cut(regions.join(small(mixed_ones), "region", "left_semi"), rows)
     sizes = members.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("region").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"))
     sizes = sizes.select("region", F.col("main.component").alias("main"), F.ceil(F.col("main.n") / BLOCK).alias("mains"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).alias("others"))
     in_main, place = F.col("component") == F.col("main"), F.xxhash64("_id", F.lit(1))
-    dealt = members.join(sizes, "region").withColumn("block", F.when(in_main, F.pmod(place, "mains")).otherwise(F.col("mains") + F.pmod(place, "others")))
+    dealt = members.join(small(cut(sizes, rows)), "region").withColumn("block", F.when(in_main, F.pmod(place, "mains")).otherwise(F.col("mains") + F.pmod(place, "others")))
     dealt = dealt.withColumn("meets", F.explode(F.sequence(F.when(in_main, F.col("mains")).otherwise(F.lit(0)), F.expr("mains + others - 1"))))
     dealt = dealt.select("region", F.least("block", "meets").alias("p"), F.greatest("block", "meets").alias("q"), "block", "_id", "component")
     full = dealt.join(classes.select("_id", "n_shingles", "bits"), "_id").select("region", "p", "q", "block", "_id", "component", "n_shingles", "bits")

@@ -82,6 +82,22 @@ def test_edits_and_next(frame, odd_rows, prose):
     assert all(len(v) == 1 for v in by_text.values())
 
 
+def test_one_id_with_most_rows(frame, prose, spark):
+    """Its rows are dealt out over blocks, and the order goes on over their borders."""
+    rows = [(None, prose(k, 20 + k % 7), "en", "s") for k in range(900)] + [(5, prose(2000 + k, 30), "en", "s") for k in range(500)] + [(10 + k, prose(5000 + k, 25), "en", "s") for k in range(600)]
+    docs = frame(rows)
+    keyed = docs.select(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("_id"), "text").withColumn("_h", F.xxhash64("text"))
+    block, _ = FP.id_blocks(keyed)
+    sizes = [r["count"] for r in keyed.groupBy(block.alias("b")).count().collect()]
+    assert max(sizes) < 500 and len(sizes) > 8
+    order = [(r["_id"], r["_h"], r["text"]) for r in keyed.collect()]
+    order.sort()
+    got = {r["text"]: r["edited"] for r in FP.fingerprints(docs).collect()}
+    for k, (_, _, text) in enumerate(order):
+        following, half = order[(k + 1) % len(order)][2], len(text) // 2
+        assert got[text] == text[: len(text) - half] + following[:half]
+
+
 def test_one_row_empty_table_and_repeats(frame):
     (only,) = FP.fingerprints(frame([(5, "abcdef", "en", "s")])).collect()
     assert only["edited"] == "abcabc" and only["near_next"] == 1.0
