@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import AnalysisError, OTreeError
 from ..functions.transforms import number_column, type_name
 
+#: Columns of which every pair is an aggregate of its own (of the rows where both are known); more of them go through one matrix.
+MOST_PAIRWISE = 40
+
 
 def select_columns(df: DataFrame, most: int) -> list[str]:
     """The `most` indexable columns with the lowest average absolute correlation, in the order of the schema where equal.
 
-    Strings go in by their hash. An empty table, and one with no more columns than wanted, gives the first ones. All pairs are one aggregate."""
+    Strings go in by their hash. An empty table, and one with no more columns than wanted, gives the first ones. All pairs are one aggregate, or one product of matrices."""
     kinds = {}
     for f in df.schema.fields:
         try:
@@ -26,6 +32,9 @@ def select_columns(df: DataFrame, most: int) -> list[str]:
         return names
     as_number = {n: F.hash(f"`{n}`").cast("double") if k == "string" else number_column(F.col(f"`{n}`"), k) for n, k in kinds.items()}
     numbers = df.select(*(as_number[n].alias(f"c{i}") for i, n in enumerate(names)))
+    if len(names) > MOST_PAIRWISE:
+        total = total_correlations(numbers)
+        return names[:most] if total is None else lowest(names, total, most)
     pairs = [(i, j) for i in range(len(names)) for j in range(i)]
     corr = lambda a, b: F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))  # noqa: E731  null, not an error, for a column with one value
     row = numbers.agg(F.count(F.lit(1)).alias("n"), *(corr(f"c{i}", f"c{j}").alias(f"r{i}_{j}") for i, j in pairs)).first()
@@ -37,5 +46,22 @@ def select_columns(df: DataFrame, most: int) -> list[str]:
         r = 0.0 if r is None or r != r else abs(r)
         total[i] += r
         total[j] += r
+    return lowest(names, total, most)
+
+
+def lowest(names: list[str], total: list[float], most: int) -> list[str]:
     chosen = sorted(range(len(names)), key=lambda i: (total[i], i))[:most]
     return [names[i] for i in sorted(chosen)]
+
+
+def total_correlations(numbers: DataFrame) -> list[float] | None:
+    """Sums of absolute correlations of each column with the others, from one product of the whole matrix instead of an aggregate for each pair. A null or NaN counts
+    as its column's mean. None for an empty table."""
+    clean = numbers.select(*(F.when(~F.isnan(c), F.col(c)).alias(c) for c in numbers.columns))
+    means = clean.agg(F.count(F.lit(1)).alias("rows"), *(F.avg(c).alias(c) for c in numbers.columns)).first().asDict()
+    if not means.pop("rows"):
+        return None
+    filled = clean.fillna({c: m or 0.0 for c, m in means.items()})
+    vectors = VectorAssembler(inputCols=numbers.columns, outputCol="v").transform(filled).select("v")
+    r = np.abs(np.nan_to_num(Correlation.corr(vectors, "v").first()[0].toArray()))
+    return (r.sum(1) - np.diag(r)).tolist()

@@ -6,6 +6,7 @@ import json
 import math
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,12 +21,17 @@ def blocks(spark: SparkSession, snapshot: Snapshot, revision: Revision) -> DataF
     """A row for each block of a revision, with its file and whether its cube has no stored cube below it. Files that are not indexed count as one root block."""
     d = max(1, len(revision.transformers))
     width = -(-d // 6)
-    rows = []
-    for f in snapshot.files_of(revision.id):
-        for b in f.blocks or (UNINDEXED,):
-            rows.append((b.cube, len(b.cube) // width, f.path, f.revision, f.size, f.modified, b.min_weight, b.max_weight, b.elements or (0 if f.blocks else f.elements)))
-    inner = {c[:k] for c, *_ in rows for k in range(0, len(c), width)}
-    return spark.createDataFrame([(*r, r[0] not in inner) for r in rows], BLOCK_SCHEMA)
+    found = [(f, b) for f in snapshot.files_of(revision.id) for b in f.blocks or (UNINDEXED,)]
+    inner = {b.cube[:k] for _, b in found for k in range(0, len(b.cube), width)}
+    columns = {
+        "cubeId": [b.cube for _, b in found], "depth": [len(b.cube) // width for _, b in found], "filePath": [f.path for f, _ in found], "revisionID": [f.revision for f, _ in found],
+        "fileSize": [f.size for f, _ in found], "fileModificationTime": [f.modified for f, _ in found], "minWeight": [b.min_weight for _, b in found], "maxWeight": [b.max_weight for _, b in found],
+        "blockElementCount": [b.elements or (0 if f.blocks else f.elements) for f, b in found], "isLeaf": [b.cube not in inner for _, b in found],
+    }
+    # As arrays, in Arrow's form, since a large table has some 10^6 blocks.
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
+    types = dict(c.split() for c in BLOCK_SCHEMA.split(", "))
+    return spark.createDataFrame(pa.table({name: pa.array(values, kinds[types[name]]) for name, values in columns.items()}), BLOCK_SCHEMA)
 
 
 def cube_status(found: DataFrame, cube_size: int) -> DataFrame:

@@ -7,6 +7,7 @@ built once a session.
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -40,6 +41,8 @@ def root(spark: SparkSession) -> str:
     if app not in _ROOTS:
         shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
         if not shared:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise AnalysisError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             shared = tempfile.mkdtemp(prefix="otreelake-")
             atexit.register(shutil.rmtree, shared, ignore_errors=True)
         _ROOTS[app] = f"{shared}/tables-{uuid.uuid4().hex}"

@@ -12,6 +12,7 @@ from otreelake import OTreeTable
 from otreelake.functions import transforms as tf
 from otreelake.functions.cubes import Cube
 from otreelake.functions.weights import MAX_WEIGHT, MIN_WEIGHT, from_fraction, to_fraction
+from otreelake.operators import columns as index_columns
 from otreelake.operators import index
 from otreelake.plans import pruning
 from otreelake.sources import log as lg
@@ -165,3 +166,14 @@ def test_modes_are_judged_in_the_commit(spark, tmp_path):
     with pytest.raises(otreelake.AnalysisError):
         table.write(spark.range(9).toDF("a"), "error", columns="a")
     assert OTreeTable(spark, path).scan().count() == 3
+
+
+def test_many_columns_go_through_one_matrix(spark, monkeypatch):
+    n = F.col("id")
+    df = spark.range(500).select(n.alias("a"), (n * 2 + F.rand(1)).alias("b"), F.rand(2).alias("c"), (n % 13).alias("d"), F.rand(3).alias("e"), F.lit(4).alias("one"), F.concat(F.lit("s"), n % 3).alias("s")).cache()
+    pairwise = index_columns.select_columns(df, 4)
+    monkeypatch.setattr(index_columns, "MOST_PAIRWISE", 3)
+    assert index_columns.select_columns(df, 4) == pairwise
+    odd = df.withColumn("c", F.when(F.col("a") % 2 == 1, F.lit(float("nan"))).when(F.col("a") % 10 != 0, F.col("c")))
+    assert len(index_columns.select_columns(odd, 3)) == 3
+    assert index_columns.select_columns(df.limit(0), 2) == ["a", "b"]
