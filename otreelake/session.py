@@ -10,14 +10,16 @@ import functools
 import re
 import weakref
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.classic.dataframe import DataFrame as ClassicFrame
 from pyspark.sql.readwriter import DataFrameReader, DataFrameWriter
 
 from .catalog import Catalog
 from .errors import AnalysisError
+from .plans.catalyst import kind
 from .plans.samples import push_samples
-from .plans.statements import FORMAT
+from .plans.statements import FORMAT, concerns, parsed
 from .table import OTreeTable
 
 _CATALOGS: weakref.WeakKeyDictionary[SparkSession, Catalog] = weakref.WeakKeyDictionary()
@@ -87,8 +89,14 @@ def wrap() -> None:
         catalog = _CATALOGS.get(self)
         if catalog is None or args or kwargs:
             return old(self, query, args, **kwargs)
-        with_ours = catalog.sql(query)
-        return push_samples(with_ours) if re.search("TABLESAMPLE", query, re.I) else with_ours
+        try:
+            plan = parsed(self, query)
+        except ParseException:  # a script, or an error that Spark tells itself
+            return old(self, query)
+        if kind(plan) == "ShowTables":
+            return old(self, query) if plan.pattern().isDefined() or not kind(plan.namespace()).startswith("CurrentNamespace") else catalog.sql(query).union(old(self, query))
+        made = catalog.sql(query) if concerns(catalog, plan) else old(self, query)
+        return push_samples(made) if re.search("TABLESAMPLE", query, re.I) else made
 
     @wrapper(SparkSession, "table")
     def session_table(old, self, name):

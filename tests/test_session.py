@@ -7,6 +7,7 @@ import uuid
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.errors import ParseException
 from pyspark.sql import functions as F
 
 import otreelake
@@ -185,6 +186,9 @@ def test_an_enabled_session(spark, tmp_path, rows):
         assert spark.table("named").count() == 5
         with pytest.raises(AnalysisError):
             df.write.format("otree").partitionBy("d").save(str(tmp_path / "p"))
+        assert "named" in [r["tableName"] for r in spark.sql("SHOW TABLES").collect()] and spark.sql("SELECT 1 AS one").first()["one"] == 1
+        with pytest.raises(ParseException):
+            spark.sql("SELEC 1")
         plain = str(tmp_path / "plain")
         df.write.format("parquet").mode("overwrite").option("compression", "none").save(plain)
         df.write.mode("append").parquet(plain)
