@@ -244,7 +244,7 @@ def heavy_rows(df: DataFrame, placed: Placed) -> dict[int, int]:
 
 
 def with_cubes(df: DataFrame, placed: Placed, groups: dict[Cube, int], parts: np.ndarray | None = None) -> DataFrame:
-    """df with _weight, _cube (a number in pre-order), _group (of its file) and _part (of so many that the group has). Only the code and the weight pass through Python, in batches."""
+    """df with _weight, _cube (a number in pre-order), _group (of its file), _part (of so many that the group has) and _code (the place on the space-filling curve). Only the code and the weight pass through Python, in batches."""
     revision = placed.revision
     d, depth = len(revision.transformers), placed.depth
     table = CubeTable(d, placed.weights)
@@ -260,7 +260,7 @@ def with_cubes(df: DataFrame, placed: Placed, groups: dict[Cube, int], parts: np
 
     with_cells, own = cells(df, revision, depth)
     weighed = with_cells.withColumns({"_weight": weight(*(f"`{c}`" for c in revision.columns)), "_code": code_column(own, depth)})
-    return weighed.withColumn("_at", assigned("_code", "_weight")).select(*(f"`{c}`" for c in df.columns), "_weight", F.col("_at.cube").alias("_cube"), F.col("_at.file_group").alias("_group"), F.pmod(F.monotonically_increasing_id(), F.col("_at.parts")).alias("_part"))
+    return weighed.withColumn("_at", assigned("_code", "_weight")).select(*(f"`{c}`" for c in df.columns), "_weight", F.col("_at.cube").alias("_cube"), F.col("_at.file_group").alias("_group"), F.pmod(F.monotonically_increasing_id(), F.col("_at.parts")).alias("_part"), "_code")
 
 
 def roll_up(expected: dict[Cube, float], limit: float) -> dict[Cube, Cube]:

@@ -88,7 +88,8 @@ def write_files(df: DataFrame, placed: Placed, store: Store, data_change: bool =
 
     A group of cubes holds half the cube size or more, where there are as many, and is one file: leaves are rarely full, and with the whole size as limit
     nearly all would lie in their parents' files. A group of more than two cube sizes (rows equal in all indexed columns end in one cube, however many) is dealt out to
-    several files. Rows are shuffled once, by group. Blocks and statistics come
+    several files. Rows are shuffled once, by group; in a file they lie along the space-filling curve, so that Parquet's pages hold small ranges of the indexed columns and ranges read
+    few of them. Blocks and statistics come
     from the written files, of which the scan needs only the indexed and the described columns, so the input is not computed again."""
     names = roll_up(placed.expected, placed.revision.cube_size / 2)
     number = {name: i for i, name in enumerate(sorted(set(names.values()), key=lambda c: c.order_key()))}
@@ -103,7 +104,7 @@ def write_files(df: DataFrame, placed: Placed, store: Store, data_change: bool =
     parts = np.maximum(1, np.ceil(expected / (2 * placed.revision.cube_size))).astype(np.int64)
     rows = with_cubes(df, placed, groups, parts)
     try:
-        rows.repartition(int(parts.sum()), "_group", "_part").drop("_weight", "_cube", "_part").write.partitionBy("_group").parquet(f"{store.root}/{staging}")
+        rows.repartition(int(parts.sum()), "_group", "_part").sortWithinPartitions("_group", "_code").drop("_weight", "_cube", "_part", "_code").write.partitionBy("_group").parquet(f"{store.root}/{staging}")
         return described(df, placed, store, staging, groups, data_change)
     finally:
         store.delete(staging)
