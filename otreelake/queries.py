@@ -753,7 +753,7 @@ def otree_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines_and_orders(spark, sf_dir).sql(_SETS.format("lines"))
 
 
-_WINDOWS = "SELECT l_orderkey, l_linenumber, row_number() OVER w AS place, sum(l_quantity) OVER w AS upto, lag(l_partkey) OVER w AS before FROM {} WHERE l_orderkey BETWEEN 500 AND 1500 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)"
+_WINDOWS = "SELECT l_orderkey, l_linenumber, CAST(row_number() OVER w AS BIGINT) AS place, sum(l_quantity) OVER w AS upto, lag(l_partkey) OVER w AS before FROM {} WHERE l_orderkey BETWEEN 500 AND 1500 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)"
 
 
 @query(_WINDOWS.format("lineitem"))
@@ -761,7 +761,7 @@ def otree_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines_and_orders(spark, sf_dir).sql(_WINDOWS.format("lines"))
 
 
-_SCALAR = "SELECT c_custkey, upper(substring(c_name, 1, 8)) AS name, length(c_mktsegment) AS n, round(c_acctbal / 7, 2) AS part, abs(c_acctbal) AS size, concat(c_mktsegment, '-', CAST(c_nationkey AS VARCHAR(20))) AS place, CASE WHEN c_acctbal < 0 THEN 'owes' ELSE 'has' END AS state FROM {} WHERE c_custkey < 800"
+_SCALAR = "SELECT c_custkey, upper(substring(c_name, 1, 8)) AS name, CAST(length(c_mktsegment) AS INTEGER) AS n, round(c_acctbal / 7, 2) AS part, abs(c_acctbal) AS size, concat(c_mktsegment, '-', CAST(c_nationkey AS VARCHAR(20))) AS place, CASE WHEN c_acctbal < 0 THEN 'owes' ELSE 'has' END AS state FROM {} WHERE c_custkey < 800"
 
 
 @query(_SCALAR.format("customer"))
