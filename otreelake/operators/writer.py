@@ -13,12 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.cubes import CubeTable
+from ..functions.cubes import Cube, CubeTable
 from ..sources.log import Block, IndexFile, Store
 from .index import Placed, heavy_rows, roll_up, with_cubes
 
 #: Columns, from the first on, that get statistics.
 STATS_COLUMNS = 32
+#: One write gives about so many files with a group of cubes each; with more groups, neighbours of one depth share a file of so many rows at most.
+FILES = 250
+SHARED_ROWS = 1_000_000
 _COMPARABLE = (T.NumericType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
@@ -83,25 +86,42 @@ def collected(rows: list[dict], fields: list[T.StructField]) -> dict:
     return stats
 
 
+def shared_files(size: dict[Cube, float], shared: float) -> dict[Cube, int]:
+    """The number of each group's file: a file takes groups of one depth along the space-filling curve as long as they have no more than `shared` rows together."""
+    out: dict[Cube, int] = {}
+    file, depth, rows = -1, -1, 0.0
+    for name in sorted(size, key=lambda c: (c.depth, c.code)):
+        if name.depth != depth or rows + size[name] > shared:
+            file, depth, rows = file + 1, name.depth, 0.0
+        out[name] = file
+        rows += size[name]
+    return out
+
+
 def write_files(df: DataFrame, placed: Placed, store: Store, data_change: bool = True) -> list[IndexFile]:
     """df's rows as files below data/, described.
 
     A group of cubes holds half the cube size or more, where there are as many, and is one file: leaves are rarely full, and with the whole size as limit
-    nearly all would lie in their parents' files. A group of more than two cube sizes (rows equal in all indexed columns end in one cube, however many) is dealt out to
+    nearly all would lie in their parents' files. Where a table has very many groups, those next to each other at one depth share a file, since a file costs the
+    driver and a task some time however small it is. A group of more than two cube sizes (rows equal in all indexed columns end in one cube, however many) is dealt out to
     several files. Rows are shuffled once, by group; in a file they lie along the space-filling curve, so that Parquet's pages hold small ranges of the indexed columns and ranges read
     few of them. Blocks and statistics come
     from the written files, of which the scan needs only the indexed and the described columns, so the input is not computed again."""
     names = roll_up(placed.expected, placed.revision.cube_size / 2)
-    number = {name: i for i, name in enumerate(sorted(set(names.values()), key=lambda c: c.order_key()))}
+    size = dict.fromkeys(names.values(), 0.0)
+    for cube, name in names.items():
+        size[name] += placed.expected[cube]
+    cubes = CubeTable(len(placed.revision.transformers), placed.weights).cubes
+    for k, n in heavy_rows(df, placed).items():
+        size[names[cubes[k]]] += n
+    shared = min(SHARED_ROWS, sum(size.values()) / FILES)
+    number = shared_files(size, shared)
     groups = {cube: number[name] for cube, name in names.items()}
     staging = f"_staging-{uuid.uuid4().hex}"
-    expected = np.zeros(len(number))
-    for cube, k in groups.items():
-        expected[k] += placed.expected[cube]
-    cubes = CubeTable(len(placed.revision.transformers), placed.weights).cubes
-    for number_, n in heavy_rows(df, placed).items():
-        expected[groups[cubes[number_]]] += n
-    parts = np.maximum(1, np.ceil(expected / (2 * placed.revision.cube_size))).astype(np.int64)
+    expected = np.zeros(max(number.values()) + 1)
+    for name, k in number.items():
+        expected[k] += size[name]
+    parts = np.maximum(1, np.ceil(expected / (2 * max(placed.revision.cube_size, shared)))).astype(np.int64)
     rows = with_cubes(df, placed, groups, parts)
     try:
         rows.repartition(int(parts.sum()), "_group", "_part").sortWithinPartitions("_group", "_code").drop("_weight", "_cube", "_part", "_code").write.partitionBy("_group").parquet(f"{store.root}/{staging}")
@@ -114,8 +134,8 @@ def described(df: DataFrame, placed: Placed, store: Store, staging: str, groups:
     spark = df.sparkSession
     fields = stats_columns(df.schema)
     cubes = CubeTable(len(placed.revision.transformers), placed.weights).cubes
-    staged = spark.read.schema(nullable(df.schema)).parquet(f"{store.root}/{staging}").select(*(f"`{c}`" for c in df.columns), F.col("_metadata.file_path").alias("_file"))
-    found = with_cubes(staged, placed, groups).groupBy("_file", "_cube").agg(F.count(F.lit(1)).alias("n"), F.min("_weight").alias("least"), *aggregates(fields))
+    staged = spark.read.schema(nullable(df.schema)).parquet(f"{store.root}/{staging}").select(*(f"`{c}`" for c in df.columns), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("_size"))
+    found = with_cubes(staged, placed, groups).groupBy("_file", "_cube").agg(F.count(F.lit(1)).alias("n"), F.min("_weight").alias("least"), F.min("_size").alias("size"), *aggregates(fields))
     by_file: dict[str, list[dict]] = {}
     for r in found.collect():  # a row for each block
         by_file.setdefault(r["_file"], []).append(r.asDict())
@@ -124,10 +144,9 @@ def described(df: DataFrame, placed: Placed, store: Store, staging: str, groups:
     for source, blocks in sorted(by_file.items()):
         relative = source[source.index(staging) :]
         name = f"data/{uuid.uuid4().hex}.parquet"
-        size = store.fs.getFileStatus(store.path(relative)).getLen()
         store.move(relative, name)
         made = tuple(Block(cubes[b["_cube"]].string(), b["least"], placed.weights[cubes[b["_cube"]]], b["n"]) for b in sorted(blocks, key=lambda b: b["_cube"]))
-        out.append(IndexFile(name, size, now, placed.revision.id, made, collected(blocks, fields), data_change))
+        out.append(IndexFile(name, blocks[0]["size"], now, placed.revision.id, made, collected(blocks, fields), data_change))
     return out
 
 

@@ -13,7 +13,7 @@ from otreelake.functions import transforms as tf
 from otreelake.functions.cubes import Cube
 from otreelake.functions.weights import MAX_WEIGHT, MIN_WEIGHT, from_fraction, to_fraction
 from otreelake.operators import columns as index_columns
-from otreelake.operators import index
+from otreelake.operators import index, writer
 from otreelake.plans import pruning
 from otreelake.sources import log as lg
 
@@ -177,3 +177,18 @@ def test_many_columns_go_through_one_matrix(spark, monkeypatch):
     odd = df.withColumn("c", F.when(F.col("a") % 2 == 1, F.lit(float("nan"))).when(F.col("a") % 10 != 0, F.col("c")))
     assert len(index_columns.select_columns(odd, 3)) == 3
     assert index_columns.select_columns(df.limit(0), 2) == ["a", "b"]
+
+
+def test_many_groups_share_files_of_one_depth(spark, tmp_path, monkeypatch):
+    """Files do not grow with the number of cubes; cubes, rows and samples are those of a file for each group."""
+    df = spark.range(40_000).select((F.col("id") * 7919 % 40_009).alias("a"), "id")
+    alone = otreelake.write_table(df, str(tmp_path / "alone"), columns="a", cube_size=100)
+    monkeypatch.setattr(writer, "FILES", 20)
+    table = otreelake.write_table(df, str(tmp_path / "shared"), columns="a", cube_size=100)
+    files = table.snapshot().files.values()
+    assert len(files) <= 40 < len(alone.snapshot().files)
+    cubes = lambda t: {(b["cubeId"], b["maxWeight"], b["n"]) for b in t.blocks().groupBy("cubeId", "maxWeight").agg(F.sum("blockElementCount").alias("n")).collect()}
+    assert cubes(table) == cubes(alone) and max(f.elements for f in files) <= 2 * 40_000 / 20
+    for where, sample in ((None, 0.1), ("a < 500", None), ("a BETWEEN 10000 AND 10100", 0.5)):
+        assert sorted(table.scan(where, sample).collect()) == sorted(alone.scan(where, sample).collect())
+        assert len(table.files(where, sample)) < len(files)
