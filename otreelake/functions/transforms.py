@@ -9,11 +9,14 @@ from __future__ import annotations
 import bisect
 import datetime as dt
 import json
+import math
 import random
 import re
 from dataclasses import asdict, dataclass, field
 from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -318,7 +321,8 @@ def compute_quantiles(df: DataFrame, column: str, n: int = 50, relative_error: f
     """n + 1 quantiles of a number column, or the least string of each of n range partitions."""
     kind = type_name(df.schema[column].dataType)
     if kind in (*NUMERIC, "decimal"):
-        found = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("c")).approxQuantile("c", [k / n for k in range(n + 1)], relative_error)
+        numbers, shares = df.select(F.col(column).cast("double").alias("c")).where("c IS NOT NULL AND NOT isnan(c)"), [k / n for k in range(n + 1)]
+        found = numbers.approxQuantile("c", shares, relative_error) if relative_error else exact_quantiles(numbers, "c", shares)
         return sorted(set(found)) if len(set(found)) > 1 else found
     if kind != "string":
         raise AnalysisError(f"quantiles of {kind} are not supported")
@@ -326,6 +330,63 @@ def compute_quantiles(df: DataFrame, column: str, n: int = 50, relative_error: f
     return [r["low"] for r in parts.groupBy(F.spark_partition_id()).agg(F.min("c").alias("low")).orderBy("low").collect()]
 
 
+#: Bits of a number that one pass of exact_quantiles tells apart.
+DIGIT = 16
+
+
+def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float]:
+    """The least values of a number column that have at least these shares of its rows at or below them; NaN is above all, nulls do not count.
+
+    Four passes, each of which counts the next 16 bits of the numbers that begin like one of those sought: nothing is shuffled or kept but counts, 65,536 for each share at most."""
+    numbers = df.select(F.col(f"`{column}`").cast("double").alias("c"))
+    prefixes, ranks = np.zeros(1, np.uint64), None
+    at = np.zeros(len(shares), np.int64)  # which of the prefixes is each share's
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        found = numbers.mapInArrow(digit_counts(prefixes, shift), "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+        counts = np.zeros(len(prefixes) << DIGIT, np.int64)
+        counts[found["bin"].to_numpy()] = found["n"].to_numpy()
+        upto = counts.reshape(len(prefixes), -1).cumsum(1)
+        if ranks is None:
+            if not upto[0, -1]:
+                return []
+            ranks = [max(1, math.ceil(p * int(upto[0, -1]))) for p in shares]
+        keys = []
+        for k, rank in enumerate(ranks):
+            own = upto[at[k]]
+            digit = int(np.searchsorted(own, rank))
+            ranks[k] = rank - (int(own[digit - 1]) if digit else 0)
+            keys.append(int(prefixes[at[k]]) << DIGIT | digit)
+        prefixes, at = np.unique(np.array(keys, np.uint64), return_inverse=True)
+    bits = np.array([int(prefixes[k]) for k in at], np.uint64)
+    top = np.uint64(1 << 63)
+    return np.where(bits & top, bits ^ top, ~bits).view(np.float64).tolist()
+
+
+def digit_counts(prefixes: np.ndarray, shift: int):
+    """For mapInArrow: of the numbers whose bits above the digit at shift are one of the sorted prefixes, how many have each digit. Bits are turned so that they sort as the numbers do."""
+
+    def counted(batches):
+        total = np.zeros(len(prefixes) << DIGIT, np.int64)
+        top = np.uint64(1 << 63)
+        for batch in batches:
+            x = batch.column(0).drop_null().to_numpy(zero_copy_only=False) + 0.0  # -0.0 is 0.0
+            x[np.isnan(x)] = np.nan  # one NaN for all
+            bits = x.view(np.uint64)
+            bits = np.where(bits & top, ~bits, bits ^ top)
+            place = np.zeros(len(bits), np.int64)
+            if shift + DIGIT < 64:
+                above = bits >> np.uint64(shift + DIGIT)
+                place = np.minimum(np.searchsorted(prefixes, above), len(prefixes) - 1)
+                known = prefixes[place] == above
+                bits, place = bits[known], place[known]
+            digit = (bits >> np.uint64(shift) & np.uint64((1 << DIGIT) - 1)).astype(np.int64)
+            total += np.bincount(place << DIGIT | digit, minlength=len(total))
+        (bins,) = np.nonzero(total)
+        yield pa.RecordBatch.from_pydict({"bin": pa.array(bins, pa.int64()), "n": pa.array(total[bins], pa.int64())})
+
+    return counted
+
+
 def compute_histogram(df: DataFrame, column: str, n: int = 50) -> list[str]:
     """The same over the distinct strings."""
     return compute_quantiles(df.select(column).distinct(), column, n)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import random
 
 import numpy as np
@@ -149,3 +150,15 @@ def test_hash_of_literals_is_sparks(spark):
     for kind, values in made.items():
         df = spark.createDataFrame([(v,) for v in values], f"v {kind}").select(F.hash("v").alias("h"), tf.Hash(kind=kind).column(F.col("v")).alias("x"))
         assert [(r["h"], r["x"]) for r in df.collect()] == [(W.hash_of(v, kind), tf.Hash(kind=kind).point(v)) for v in values], kind
+
+
+def test_exact_quantiles_are_those_of_the_sorted_numbers(spark):
+    """Negative, equal, infinite and tiny numbers, nulls and NaN, over several partitions."""
+    n = F.col("id")
+    odd = F.when(n % 17 == 0, None).when(n % 17 == 1, F.lit(float("-inf"))).when(n % 17 == 2, F.lit(-0.0)).when(n % 17 == 3, F.lit(5e-324)).when(n % 17 == 4, F.lit(float("nan"))).otherwise(((n * 7919) % 1009 - 500) / 7)
+    df = spark.range(0, 5000, 1, 5).select(odd.alias("x"))
+    known = sorted(r["x"] for r in df.collect() if r["x"] is not None and r["x"] == r["x"])
+    shares = [0.0, 0.03, 0.25, 0.5, 0.501, 0.75, 1.0]
+    found = tf.exact_quantiles(df.where("NOT isnan(x)"), "x", shares)
+    assert found == [known[max(1, math.ceil(p * len(known))) - 1] for p in shares]
+    assert math.isnan(tf.exact_quantiles(df, "x", [1.0])[0]) and tf.exact_quantiles(df.limit(0), "x", shares) == []
