@@ -179,6 +179,21 @@ def test_many_columns_go_through_one_matrix(spark, monkeypatch):
     assert index_columns.select_columns(df.limit(0), 2) == ["a", "b"]
 
 
+def test_pairs_of_columns_are_judged_by_the_rows_where_both_are_known(spark):
+    """As Spark's own aggregates do, over several partitions; a column of one value, of NaN or of nulls is correlated with none."""
+    n = F.col("id")
+    df = spark.range(0, 3000, 1, 7).select(
+        (n + 1e6).alias("a"), F.when(n % 3 != 0, n * n).cast("double").alias("b"), F.when(n % 5 != 0, F.sin("id")).alias("c"), F.lit(0.1).alias("one"),
+        F.when(n % 2 == 0, F.lit(float("nan"))).otherwise(n).alias("odd"), F.lit(None).cast("double").alias("none"),
+    )
+    names = df.columns
+    pairs = [(a, b) for a in names for b in names if a != b]
+    r = df.agg(*(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)).alias(f"{a}_{b}") for a, b in pairs)).first()
+    wanted = [sum(abs(v) for b in names if a != b and (v := r[f"{a}_{b}"]) is not None and v == v) for a in names]
+    assert index_columns.pairwise_correlations(df) == pytest.approx(wanted, abs=1e-9)
+    assert wanted[0] > 0.9 and index_columns.pairwise_correlations(df.limit(0)) is None
+
+
 def test_many_groups_share_files_of_one_depth(spark, tmp_path, monkeypatch):
     """Files do not grow with the number of cubes; cubes, rows and samples are those of a file for each group."""
     df = spark.range(40_000).select((F.col("id") * 7919 % 40_009).alias("a"), "id")
