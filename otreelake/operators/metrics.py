@@ -9,8 +9,10 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.cubes import Cube
+from ..functions.transforms import exact_quantiles
 from ..functions.weights import MAX_WEIGHT, from_fraction, normalized
 from ..sources.log import UNINDEXED, Revision, Snapshot
 
@@ -41,10 +43,12 @@ def cube_status(found: DataFrame, cube_size: int) -> DataFrame:
 
 
 def size_stats(df: DataFrame, column: str) -> dict:
-    """Count, average, standard deviation and quartiles of a column."""
+    """Count, average, standard deviation and exact quartiles of a column."""
     c = F.col(column)
-    row = df.agg(F.count(c).alias("count"), F.avg(c).alias("avg"), F.stddev(c).alias("stddev"), F.percentile_approx(c, [0.0, 0.25, 0.5, 0.75, 1.0], 1000).alias("quartiles")).first()
-    return {"count": row["count"], "avg": int(row["avg"] or 0), "stddev": int(row["stddev"] or 0), "quartiles": list(row["quartiles"] or [])}
+    row = df.agg(F.count(c).alias("count"), F.avg(c).alias("avg"), F.stddev(c).alias("stddev")).first()
+    quartiles = exact_quantiles(df, column, [0.0, 0.25, 0.5, 0.75, 1.0])
+    whole = isinstance(df.schema[column].dataType, T.IntegralType)
+    return {"count": row["count"], "avg": int(row["avg"] or 0), "stddev": int(row["stddev"] or 0), "quartiles": [int(q) if whole else q for q in quartiles]}
 
 
 def least_height(elements: int, cube_size: int, dimensions: int) -> int:

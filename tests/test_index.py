@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import shutil
 
@@ -13,7 +14,7 @@ from otreelake.functions import transforms as tf
 from otreelake.functions.cubes import Cube
 from otreelake.functions.weights import MAX_WEIGHT, MIN_WEIGHT, from_fraction, to_fraction
 from otreelake.operators import columns as index_columns
-from otreelake.operators import index, writer
+from otreelake.operators import index, metrics, writer
 from otreelake.plans import pruning
 from otreelake.sources import log as lg
 
@@ -207,3 +208,11 @@ def test_many_groups_share_files_of_one_depth(spark, tmp_path, monkeypatch):
     for where, sample in ((None, 0.1), ("a < 500", None), ("a BETWEEN 10000 AND 10100", 0.5)):
         assert sorted(table.scan(where, sample).collect()) == sorted(alone.scan(where, sample).collect())
         assert len(table.files(where, sample)) < len(files)
+
+
+def test_quartiles_of_many_cubes_are_exact(spark):
+    df = spark.range(50_000).select((F.col("id") * F.col("id") % 50_021).alias("n"))
+    known = sorted(r["n"] for r in df.collect())
+    found = metrics.size_stats(df, "n")
+    assert found["quartiles"] == [known[max(1, math.ceil(p * len(known))) - 1] for p in (0.0, 0.25, 0.5, 0.75, 1.0)] and found["count"] == 50_000
+    assert metrics.size_stats(df.limit(0), "n")["quartiles"] == []
